@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, sharding, token_counts, token_matrix, warc
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, token_matrix, warc
 from .common import documents
 
 
@@ -15,6 +15,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir)).select("doc_id", "n_tokens")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(documents(spark, sf_dir))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(documents(spark, sf_dir)).drop("doc_hash")
+
+
 def op4_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrix.read(token_matrix.write(documents(spark, sf_dir)))
 
