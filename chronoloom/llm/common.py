@@ -91,3 +91,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, parts: int
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salted", salted)
     out = out.join(rest, F.col("_salted") == F.col("_key"), "left").withColumn("_g", F.coalesce("_a", "_b"))
     return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"_g.{c}").alias(c) for c in others])
+
+
+def might_contain(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """The rows whose key (a long) may be among the one column of ids, which should be saved; a few others pass.
+
+    A bitmap over the keys modulo its size, at most ``most_bits`` (8 MB), is broadcast in pieces of 4 KB. It only spares a shuffle
+    rows that the join after it would drop; with more ids than bits it lets all pass.
+    """
+    bits = 1 << 15
+    while bits < most_bits and bits < 16 * ids.count():
+        bits <<= 1
+    slot = lambda c: F.pmod(F.col(c), F.lit(bits)) + 1
+    name = ids.columns[0]
+    maps = ids.groupBy(F.bitmap_bucket_number(slot(name)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(name))).alias("_map"))
+    marked = rows.withColumns({"_bucket": F.bitmap_bucket_number(slot(key)), "_at": F.bitmap_bit_position(slot(key))}).join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)

@@ -1,13 +1,18 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-Lines (split at \\n) are compared by their sets of character shingles, ``shingle`` characters each, and are duplicates at a
-Jaccard similarity of ``similarity`` or more, or linked by a chain of such lines. One line of each component stays: the one with
-the least document id, then the least place.
+Lines (split at \\n) are compared by their sets of character shingles and are duplicates at a Jaccard similarity of
+``similarity`` or more, or linked by a chain of such lines. One line of each component stays: the one with the least document id,
+then the least place.
 
-Signature: the shingles that begin at the words of the line are hashed once. From each of ``bands`` fixed points of the hash
-circle the next ``rows`` hashes make up a band: two lines agree there with probability similarity ** rows, as with ``rows``
-independent minima each (0.997 for 8 bands of 3 at 0.8). Bands of any kind of line hold ``rows`` different shingles, or all of
-them. Lines that share a band are candidates; their similarity is then found exactly, over the shingles at all places.
+Shingles: one begins at each word (the characters between single spaces) and ends ``ahead`` characters into the next word, about
+nine characters in all; every character is in one. Lines with long runs without a space, over 32 characters to a word on average,
+are shingled at all places, ``shingle`` characters each. Lines between 20 and 32 characters to a word are compared both ways, so that
+no pair is lost where the two meet.
+
+Signature: all shingles of a line are hashed once. From each of ``bands`` fixed points of the hash circle the next ``rows``
+hashes make up a band: two lines agree there with probability similarity ** rows, as with ``rows`` independent minima each (0.997
+for 8 bands of 3 at 0.8). A band always holds ``rows`` different shingles, or all of them. Lines that share a band are
+candidates; their Jaccard similarity is then found exactly, over all their shingles.
 
 Lines are identified by 64-bit hashes; among n different lines n**2 / 2**65 pairs are expected to be mistaken for each other.
 
@@ -23,10 +28,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, save
+from .common import join_groups, might_contain, save
 from .links import link
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 8, 3
+SHINGLE, SIMILARITY, BANDS, ROWS, AHEAD = 8, 0.8, 8, 3, 3
+#: Characters to a word: below the first only words count, above the last only places, between them both.
+SPARSE, DENSE = 20, 32
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -36,53 +43,59 @@ def lines(docs: DataFrame) -> DataFrame:
     return out.withColumn("id", F.xxhash64("line"))
 
 
-def signature(line: Column, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[Column, Callable[[str], Column]]:
-    """The hashes of the line's shingles at words, and the bands of a column that holds them sorted."""
-    # a long run without white space is cut every 16 characters
-    at_words = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{1,%d}))[^\x20\x09-\x0D]{1,16}[\x20\x09-\x0D]*" % shingle), F.lit(1))
-    points = [-(1 << 63) + ((2 * j + 1) << 63) // bands for j in range(bands)]
-    fixed = F.array(*[F.lit(p) for p in points])
+def compared(line: Column, shingle: int) -> Column:
+    return (F.length(line) >= shingle) & line.rlike(r"[^\x20\x09-\x0D]")
 
-    def banded(hashes: str) -> Column:
-        marked, circle = F.sort_array(F.array_union(F.col(hashes), fixed)), F.concat(hashes, hashes, hashes)
-        first = lambda j: (F.array_position(marked, F.lit(points[j])) - j).cast("int")
-        return F.array(*[F.xxhash64(F.slice(circle, first(j), F.lit(rows)), F.lit(j)) for j in range(bands)])
 
-    return F.sort_array(F.array_distinct(F.transform(at_words, lambda x: F.xxhash64(x)))), banded
+def with_shingles(rows: DataFrame, shingle: int, ahead: int = AHEAD) -> DataFrame:
+    """rows with ``at_words`` and ``at_places`` in place of ``line``: the hashes of the line's shingles of either kind, or null."""
+    rest = [c for c in rows.columns if c != "line"]
+    words = rows.withColumn("_words", F.split("line", " ")).withColumn("_per", F.length("line") / F.size("_words"))
+    shifted = words.withColumn("_next", F.slice("_words", F.lit(2), F.size("_words")))
+    at_words = F.zip_with("_words", "_next", lambda a, b: F.xxhash64(a, F.substring(b, 1, ahead)))
+    at_places = F.transform(F.regexp_extract_all("line", F.lit(r"(?s)(?=(.{%d}))" % shingle), F.lit(1)), lambda x: F.xxhash64(x))
+    return shifted.select(*rest, F.when(F.col("_per") <= DENSE, at_words).alias("at_words"), F.when(F.col("_per") >= SPARSE, at_places).alias("at_places"))
 
 
-def shingles(line: Column, shingle: int = SHINGLE) -> Column:
-    """All shingles of a line, each once."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % shingle), F.lit(1)))
+def banded(rows: DataFrame, hashes: str, bands: int, per_band: int, kind: int) -> DataFrame:
+    """rows with the band keys in place of the hashes."""
+    points = [-(1 << 63) + ((2 * j + 1) << 63) // bands for j in range(bands)]
+    fixed = F.array(*[F.lit(p) for p in points])
+    rest = [c for c in rows.columns if c != hashes]
+    sorted_ = rows.withColumn("_m", F.sort_array(F.array_distinct(F.concat(F.col(hashes), fixed))))
+    circle = sorted_.withColumn("_c", F.concat("_m", "_m"))
+    after = lambda p: F.array_except(F.slice("_c", (F.array_position("_m", F.lit(p)) + 1).cast("int"), F.lit(per_band + bands)), fixed)
+    keys = F.array(*[F.xxhash64(F.slice(after(p), F.lit(1), F.lit(per_band)), F.lit(j), F.lit(kind)) for j, p in enumerate(points)])
+    return circle.select(*rest, F.when(F.col(hashes).isNotNull(), keys).alias(hashes))
 
 
-def similar(texts: DataFrame, shingle: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs (a, b) of ids whose lines' exact Jaccard similarity is high enough."""
+def similar(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (a, b) of ids whose lines' exact Jaccard similarity, of either kind, is high enough."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-        both = pairs.join(a, "a").join(b, "b")
-        # the smaller length bounds the similarity from above, up to repeated shingles; grams are only made where it may suffice
-        grams = both.withColumn("ga", shingles(F.col("la"), shingle)).withColumn("gb", shingles(F.col("lb"), shingle))
-        common = F.size(F.array_intersect("ga", "gb"))
-        return grams.withColumn("common", common).filter(F.col("common") >= similarity * (F.size("ga") + F.size("gb") - F.col("common"))).select("a", "b")
+        a = sets.select(F.col("id").alias("a"), F.col("at_words").alias("wa"), F.col("at_places").alias("pa"))
+        b = sets.select(F.col("id").alias("b"), F.col("at_words").alias("wb"), F.col("at_places").alias("pb"))
+        both = pairs.join(a, "a").join(b, "b").withColumns({"cw": F.size(F.array_intersect("wa", "wb")), "cp": F.size(F.array_intersect("pa", "pb"))})
+        enough = lambda c, x, y: F.coalesce(F.col(c) >= similarity * (F.size(x) + F.size(y) - F.col(c)), F.lit(False))
+        return both.filter(enough("cw", "wa", "wb") & (F.col("cw") > 0) | enough("cp", "pa", "pb") & (F.col("cp") > 0)).select("a", "b")
 
     return verify
 
 
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per line: doc_id, doc_hash, line_no, line_hash, class_hash (its component's least line hash) and kept."""
-    all_lines = lines(docs)
-    compared = F.length("line") >= shingle
-    compared &= F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    hashes, banded = signature(F.col("line"), shingle, bands, rows)
-    places = save(all_lines.select("doc_id", "doc_hash", "line_no", "id", compared.alias("compared"), F.when(compared, hashes).alias("hashes")).select(
-        "doc_id", "doc_hash", "line_no", "id", "compared", F.when(F.col("compared"), banded("hashes")).alias("bands")), "line-signatures")
-    members = places.filter("compared").select(F.explode("bands").alias("key"), "id")
+    all_lines = lines(docs).withColumn("compared", compared(F.col("line"), shingle))
+    signed = with_shingles(all_lines.withColumn("line", F.when(F.col("compared"), F.col("line"))), shingle)
+    signed = banded(banded(signed, "at_words", bands, rows, 0), "at_places", bands, rows, 1)
+    keys = F.concat(F.coalesce("at_words", F.array()), F.coalesce("at_places", F.array())).alias("bands")
+    places = save(signed.select("doc_id", "doc_hash", "line_no", "id", "compared", keys), "line-signatures")
+    members = places.select(F.explode("bands").alias("key"), "id")
 
     def verifier(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        texts = all_lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return similar(save(texts, "line-texts"), shingle, similarity)
+        ids = save(ids, "line-candidates")
+        asked = might_contain(all_lines.filter("compared").select("id", "line"), "id", ids)
+        sets = with_shingles(asked, shingle).withColumns({c: F.array_distinct(c) for c in ("at_words", "at_places")})
+        return similar(save(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-shingles"), similarity)
 
     comps = link(members, verifier)
     classed = places.drop("bands").join(comps, "id", "left").withColumn("class_hash", F.coalesce("comp", "id")).drop("comp")

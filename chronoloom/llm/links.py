@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, save
+from .common import drop, might_contain, save
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -53,7 +53,8 @@ def link(members: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame
     verifier(ids) returns a function that keeps the true links of candidate pairs (a, b), a < b; ids are all that can occur.
     """
     ends = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key", "leader")
-    active = save(members.join(ends, "key").distinct(), "bucket-members")
+    ends = save(ends, "buckets")
+    active = save(might_contain(members, "key", ends.select("key")).join(ends, "key").distinct(), "bucket-members")
     verify = verifier(active.select("id").distinct())
     edges = save(verify(active.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "links")
     comps = save(components(edges), "components")
