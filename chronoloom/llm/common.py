@@ -71,6 +71,15 @@ def _clean() -> None:
             return
 
 
+def as_text(name: str) -> Column:
+    """A long column as a string: pandas would turn longs beside nulls into floating point."""
+    return F.col(name).cast("string").alias(name)
+
+
+def as_long(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

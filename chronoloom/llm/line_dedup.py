@@ -115,7 +115,8 @@ def dedup_lines(docs: DataFrame, **options: float) -> DataFrame:
     """
     dropped = line_classes(docs, **options).filter("not kept").groupBy("doc_id", "doc_hash").agg(F.collect_set("line_no").alias("_dropped"))
     dropped = dropped.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "_dropped")
-    full = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = full.join(dropped, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    return out.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    full = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), F.col("doc_id").alias("own_id"))
+    out = full.join(dropped, (F.col("own") == F.col("_hash")) & F.col("own_id").eqNullSafe(F.col("_id")), "left")
+    rest = F.array_join(F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
+    text = F.when(F.col("_dropped").isNull(), F.col("row.text")).otherwise(rest)
+    return out.select(F.col("row").withField("text", text).alias("row")).select("row.*")

@@ -114,13 +114,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: flo
     ).filter("_take > 0")
     copies = copies.withColumn("_position", inverse_demand(given(F.col("_pass")), F.col("rank") % kinds, knots, factors))
     copies = copies.select("_digest", "_source", "_none", "_size", "_position", "_take")
-    full = docs.withColumns({"_digest": key(), "_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
-    # identical rows have one digest: they are one row with more copies, so the first of them stands for all
+    full = docs.select(F.struct("*").alias("row"), key().alias("_digest"), F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"))
+    # identical rows have one digest: the first of them stands for all, with the copies of all
     first = full.dropDuplicates(["_digest", "_source", "_none"])
     out = first.join(copies, ["_digest", "_source", "_none"])
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.when(F.col("_take") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), "")).otherwise(F.col("text"))
-    return out.withColumn("text", cut).repartitionByRange("_position", "_digest").sortWithinPartitions("_position", "_digest").select(*docs.columns)
+    words = F.regexp_extract_all("row.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.when(F.col("_take") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), "")).otherwise(F.col("row.text"))
+    out = out.select(F.col("row").withField("text", cut).alias("row"), "_position", "_digest")
+    return out.repartitionByRange("_position", "_digest").sortWithinPartitions("_position", "_digest").select("row.*")
 
 
 SQL = r"""

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, save
+from .common import as_long, as_text, join_groups, save
 from .links import link
 
 FEATURES = 1 << 20
@@ -196,14 +196,14 @@ def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """doc_id, text_hash and class_hash of every row; saved."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    hashed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("id"))
+    hashed = docs.select(as_text("doc_id"), text.alias("text"), F.xxhash64(text).alias("id"))
     weights = spark.sparkContext.broadcast(idf(*document_frequencies(docs, o.shingle, o.features)))  # 4 bytes a slot
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "id": pdf["id"], "bands": _bands(pdf["text"], weights.value, o)})
 
-    rows = save(hashed.mapInPandas(banded, "doc_id long, id long, bands array<long>"), "near-signatures")
+    rows = save(as_long(hashed.mapInPandas(banded, "doc_id string, id long, bands array<long>"), "doc_id"), "near-signatures")
     members = rows.filter("bands is not null").groupBy("id").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "id")
 
     def verifier(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -243,6 +243,6 @@ def dedup(docs: DataFrame, o: Options = Options()) -> DataFrame:
     rows = text_classes(docs, o)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     keep = rows.groupBy("class_hash").agg(first).select(F.col("first.doc_id").alias("_keep"), F.col("first.text_hash").alias("_hash"))
-    full = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
-    return full.join(keep, same, "left_semi").dropDuplicates(["_own"]).select(*docs.columns)
+    full = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "doc_id")
+    same = (F.col("own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
+    return full.join(keep, same, "left_semi").dropDuplicates(["own"]).select("row.*")

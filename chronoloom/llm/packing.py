@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import as_long, as_text
 from .tokens import FOLDER, byte_bpe
 
 CAPACITY = 2048
@@ -92,7 +93,7 @@ def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = 512, block: int = 500_000, folder: str = FOLDER) -> DataFrame:
@@ -119,7 +120,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = 512, block: int
             out["offset"] = before - before[np.searchsorted(window, window)]
             first += int(window[-1]) + 1
             rows, held = [], 0
-            return out.astype({"doc_id": "Int64"})
+            return out
 
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
@@ -131,4 +132,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = 512, block: int
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInPandas(packed, SCHEMA)
+    return as_long(docs.select(as_text("doc_id"), "text").mapInPandas(packed, SCHEMA), "doc_id")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, as_long, as_text
 
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -110,7 +110,7 @@ class Trees:
 
 
 def fit(
-    x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, penalty: float = 1.0, least: float = 4.0
+    x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 120, depth: int = 4, rate: float = 0.15, bins: int = 48, penalty: float = 1.0, least: float = 4.0
 ) -> Trees:
     """Logistic gradient boosting over histograms.
 
@@ -174,7 +174,7 @@ def fit(
     return out
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>"
+SCHEMA = "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>"
 
 
 def measured(docs: DataFrame, keep: str = "") -> DataFrame:
@@ -189,8 +189,8 @@ def measured(docs: DataFrame, keep: str = "") -> DataFrame:
                 out[keep.split()[0]] = pdf[keep.split()[0]].array
             yield out
 
-    columns = ["doc_id", "text", *([keep.split()[0]] if keep else [])]
-    return docs.select(*columns).mapInPandas(stats, SCHEMA + (f", {keep}" if keep else ""))
+    columns = [as_text("doc_id"), "text", *([keep.split()[0]] if keep else [])]
+    return as_long(docs.select(*columns).mapInPandas(stats, SCHEMA + (f", {keep}" if keep else "")), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, spared: float = 0.995) -> tuple[Trees, float]:
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, spar
         labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     )
-    rows = measured(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("double")), "quality double").select("doc_id", "features", "quality")
+    rows = measured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("quality", F.col("quality").cast("double")), "quality double").select("doc_id", "features", "quality")
     pdf = rows.toPandas()
     if not len(pdf):
         return Trees(), 0.0

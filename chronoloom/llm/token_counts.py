@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import as_long, as_text
 from .tokens import FOLDER
 
 SPACE_MARK = "▁"
@@ -127,4 +128,4 @@ def count_tokens(docs: DataFrame, path: str = f"{FOLDER}/piece_bpe_32k.model", s
             out.insert(0, "doc_id", pdf["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(counted, "doc_id long, n_tokens long, score double")
+    return as_long(docs.select(as_text("doc_id"), "text").mapInPandas(counted, "doc_id string, n_tokens long, score double"), "doc_id")

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import new_path, save
+from .common import as_text, new_path, save
 from .tokens import FOLDER, byte_bpe
 
 END = 50256
@@ -138,7 +138,7 @@ def write(docs: DataFrame, capacity: int = 2048, end: int = END, block: int = 1_
         if pieces:
             yield flush()
 
-    return save(docs.select("doc_id", "text").mapInPandas(written, MANIFEST), "matrix-manifest")
+    return save(docs.select(as_text("doc_id"), "text").mapInPandas(written, MANIFEST), "matrix-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, new_path, save
+from .common import as_text, join_groups, new_path, save
 
 VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 MAGIC = b"\x1f\x8b\x08"
@@ -66,7 +66,10 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("a header line without a colon")
-        header[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        key = name.decode("utf-8", "replace").strip().lower()
+        if key in header and key != "warc-concurrent-to":
+            raise ValueError(f"two fields {key}")  # the rest of another record's header
+        header[key] = value.decode("utf-8", "replace").strip()
     if not (size := header.get("content-length", "")).isdigit():
         raise ValueError("no content length")
     start, stop = end + 4, end + 4 + int(size)
@@ -127,7 +130,7 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
 
 
 def _next(data: bytes, at: int) -> int:
-    """The next place that looks like a member with a version line or like a version line at the start of a line."""
+    """The next place that looks like a member that begins with a version line, or like a version line."""
     while True:
         gz, plain = data.find(MAGIC, at), data.find(b"WARC/", at)
         found = [x for x in (gz, plain) if x >= 0]
@@ -140,7 +143,7 @@ def _next(data: bytes, at: int) -> int:
                 return at
             except ValueError:
                 pass
-        elif VERSION.match(data, at) and data[at - 1 : at] in (b"", b"\n"):
+        elif VERSION.match(data, at):
             return at
         at += 1
 
@@ -185,7 +188,7 @@ def write(roles: DataFrame, out: str | None = None, archive_bytes: int = 32 << 2
             file.close()
             yield pd.DataFrame([(f"{target}/{name}", n, size)], columns=["path", "records", "bytes"])
 
-    return save(roles.mapInPandas(written, "path string, records long, bytes long"), "warc-manifest")
+    return save(roles.select(as_text("page_id"), "url", "html", "revisit", as_text("refers_to")).mapInPandas(written, "path string, records long, bytes long"), "warc-manifest")
 
 
 RECORDS = (
