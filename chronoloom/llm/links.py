@@ -41,6 +41,15 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after more links (a, b): only the components that the links touch are put together anew."""
+    of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    touched = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = components(touched)
+    old = comps.join(up.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
+    return save(old.unionByName(up.join(comps.select("id"), "id", "left_anti")), "components")
+
+
 def link(members: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], leaders: int = 16) -> DataFrame:
     """(id, comp) of the ids that have a verified link, from the buckets' members (key, id).
 
@@ -77,6 +86,6 @@ def link(members: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame
         pairs = met.select("id", "comp", F.explode("chosen").alias("l")).filter("comp != l.comp")
         new = save(verify(pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()), "links")
         if not new.isEmpty():
-            comps = save(components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(new)), "components")
+            comps = merged(comps, new)
         active = met.filter(~F.exists("chosen", lambda s: s["id"] == F.col("id"))).select("key", "id")
         step += 1

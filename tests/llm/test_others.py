@@ -39,7 +39,7 @@ def test_statistics(text):
 def labelled():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, len(quality.FEATURES)))
-    y = (x[:, 0] + np.sin(2 * x[:, 5]) - x[:, 2] - 0.5 * x[:, 4] + 0.3 * rng.normal(size=4000) > 0).astype(float)
+    y = (x[:, 0] + np.sin(2 * x[:, 6]) - x[:, 2] - 0.5 * x[:, 4] + 0.3 * rng.normal(size=4000) > 0).astype(float)
     return x, y
 
 
