@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, might_contain, save
-from .links import link
+from .links import Tools, link
 
 SHINGLE, SIMILARITY, BANDS, ROWS, AHEAD = 8, 0.8, 8, 3, 3
 #: Characters to a word: below the first only words count, above the last only places, between them both.
@@ -69,6 +69,10 @@ def banded(rows: DataFrame, hashes: str, bands: int, per_band: int, kind: int) -
     return circle.select(*rest, F.when(F.col(hashes).isNotNull(), keys).alias(hashes))
 
 
+def _enough(common: Column, a: Column, b: Column, similarity: float) -> Column:
+    return F.coalesce((common > 0) & (common >= similarity * (F.size(a) + F.size(b) - common)), F.lit(False))
+
+
 def similar(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
     """Keeps the pairs (a, b) of ids whose lines' exact Jaccard similarity, of either kind, is high enough."""
 
@@ -76,12 +80,22 @@ def similar(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFra
         a = sets.select(F.col("id").alias("a"), F.col("at_words").alias("wa"), F.col("at_places").alias("pa"))
         b = sets.select(F.col("id").alias("b"), F.col("at_words").alias("wb"), F.col("at_places").alias("pb"))
         both = pairs.join(a, "a").join(b, "b").withColumns({"cw": F.size(F.array_intersect("wa", "wb")), "cp": F.size(F.array_intersect("pa", "pb"))})
-        enough = lambda c, x, y: F.coalesce(F.col(c) >= similarity * (F.size(x) + F.size(y) - F.col(c)), F.lit(False))
-        return both.filter(enough("cw", "wa", "wb") & (F.col("cw") > 0) | enough("cp", "pa", "pb") & (F.col("cp") > 0)).select("a", "b")
+        return both.filter(_enough(F.col("cw"), F.col("wa"), F.col("wb"), similarity) | _enough(F.col("cp"), F.col("pa"), F.col("pb"), similarity)).select("a", "b")
 
     return verify
 
 
+def linked_blocks(met: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) between the lines of two blocks that lie in different components."""
+
+    def near(x: Column, y: Column) -> Column:
+        kinds = [_enough(F.size(F.array_intersect(x[c], y[c])), x[c], y[c], similarity) for c in ("at_words", "at_places")]
+        return (x["comp"] != y["comp"]) & (kinds[0] | kinds[1])
+
+    one = met.select(F.explode("left").alias("x"), "right").select("x", F.explode(F.filter("right", lambda y: near(F.col("x"), y))).alias("y"))
+    return one.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per line: doc_id, doc_hash, line_no, line_hash, class_hash (its component's least line hash) and kept."""
     all_lines = lines(docs).withColumn("compared", compared(F.col("line"), shingle))
@@ -91,13 +105,14 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     places = save(signed.select("doc_id", "doc_hash", "line_no", "id", "compared", keys), "line-signatures")
     members = places.select(F.explode("bands").alias("key"), "id")
 
-    def verifier(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def tools(ids: DataFrame) -> Tools:
         ids = save(ids, "line-candidates")
         asked = might_contain(all_lines.filter("compared").select("id", "line"), "id", ids)
         sets = with_shingles(asked, shingle).withColumns({c: F.array_distinct(c) for c in ("at_words", "at_places")})
-        return similar(save(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-shingles"), similarity)
+        sets = save(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-shingles")
+        return sets, similar(sets, similarity), lambda met: linked_blocks(met, similarity)
 
-    comps = link(members, verifier)
+    comps = link(members, tools)
     classed = places.drop("bands").join(comps, "id", "left").withColumn("class_hash", F.coalesce("comp", "id")).drop("comp")
     classed = save(classed.withColumn("k", F.col("class_hash").cast("string")), "line-classes")
     first = F.min(F.struct("doc_id", "doc_hash", "line_no")).alias("first")

@@ -50,42 +50,39 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return save(old.unionByName(up.join(comps.select("id"), "id", "left_anti")), "components")
 
 
-def link(members: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], leaders: int = 16) -> DataFrame:
+#: A verifier keeps the true links (a, b) of candidate pairs; a comparer finds those between the items of two blocks.
+Tools = tuple[DataFrame, Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]
+
+
+def link(members: DataFrame, tools: Callable[[DataFrame], Tools], block: int = 96) -> DataFrame:
     """(id, comp) of the ids that have a verified link, from the buckets' members (key, id).
 
-    First every member is held against its bucket's least id. Then, while a bucket holds ids of several components, its
-    members are held against up to four members of its largest component outside of which they lie, and from the third
-    round on against one member of each of its smallest components, ``leaders`` of them. A leader has by then been compared with
-    all of its bucket that aren't in its component, and leaves it. This ends when no bucket has ids of two components, so
-    that every pair of a bucket is in one component or has been compared.
+    First every member is held against its bucket's most central member, the one whose buckets are the largest: in a group of
+    copies that is the original or close to it, and most of the group is then one component. What a bucket holds outside of
+    its largest component is then compared with all of the bucket, in blocks of about ``block`` members against blocks of as
+    many: no row is made for a pair, and no task sees a whole bucket. So every pair of a bucket is in one component or has been
+    compared.
 
-    verifier(ids) returns a function that keeps the true links of candidate pairs (a, b), a < b; ids are all that can occur.
+    tools(ids) gives, for all ids that can occur, a table of items (id and what comparing needs), the verifier of pairs and
+    the comparer of rows with the arrays ``left`` and ``right`` of items and their components.
     """
-    ends = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key", "leader")
-    ends = save(ends, "buckets")
+    ends = save(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n"), "buckets")
     active = save(might_contain(members, "key", ends.select("key")).join(ends, "key").distinct(), "bucket-members")
-    verify = verifier(active.select("id").distinct())
-    edges = save(verify(active.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "links")
-    comps = save(components(edges), "components")
-    active = active.filter("id != leader").select("key", "id")
-    step = 0
-    while True:
-        m = active.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        per = m.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", F.xxhash64("id")).alias("x"), F.max_by("id", F.xxhash64("id")).alias("y"))
-        if step < 2:
-            some = F.max(F.struct("n", "comp", F.array_distinct(F.array("lo", "hi", "x", "y")).alias("ids")))
-            chosen = per.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), some.alias("best")).filter("c < d")
-            chosen = chosen.select("key", F.transform("best.ids", lambda i: F.struct(i.alias("id"), F.col("best.comp").alias("comp"))).alias("chosen"))
-        else:
-            all_but_largest = F.array_sort(F.collect_list(F.struct("n", "comp", F.col("lo").alias("id"))))
-            chosen = per.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), all_but_largest.alias("all")).filter("c < d")
-            chosen = chosen.select("key", F.transform(F.slice("all", F.lit(1), F.least(F.size("all") - 1, F.lit(leaders))), lambda s: F.struct(s["id"].alias("id"), s["comp"].alias("comp"))).alias("chosen"))
-        met = save(m.join(chosen, "key"), "bucket-rounds")
-        if met.isEmpty():
-            return comps
-        pairs = met.select("id", "comp", F.explode("chosen").alias("l")).filter("comp != l.comp")
-        new = save(verify(pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()), "links")
-        if not new.isEmpty():
-            comps = merged(comps, new)
-        active = met.filter(~F.exists("chosen", lambda s: s["id"] == F.col("id"))).select("key", "id")
-        step += 1
+    items, verify, compare = tools(active.select("id").distinct())
+    central = active.groupBy("id").agg(F.sum(F.log2("n")).alias("score"))
+    leaders = active.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id")).alias("l")).select("key", F.col("l.id").alias("leader"))
+    first = active.select("key", "id").join(leaders, "key").filter("id != leader")
+    links = save(verify(first.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()), "links")
+    comps = save(components(links), "components")
+
+    m = save(active.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "bucket-components")
+    per = m.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n"))
+    open_ = save(per.filter("most.c < n").select("key", F.col("most.comp").alias("main"), F.ceil(F.col("n") / block).alias("nr"), F.ceil((F.col("n") - F.col("most.c")) / block).alias("nl")), "open-buckets")
+    inside = m.join(open_, "key")
+    right = inside.withColumn("r", F.pmod(F.xxhash64("id", "key"), F.col("nr")))
+    left = inside.filter("comp != main").withColumn("l", F.pmod(F.xxhash64("key", "id"), F.col("nl")))
+    gathered = lambda d, no, name: d.select("key", no, "id", "comp").join(items, "id").groupBy("key", no).agg(F.collect_list(F.struct("comp", *items.columns)).alias(name))
+    blocks = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), "nr").select("key", "l", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
+    met = blocks.join(gathered(left, "l", "left"), ["key", "l"]).join(gathered(right, "r", "right"), ["key", "r"])
+    more = save(compare(met).distinct(), "links")
+    return comps if more.isEmpty() else merged(comps, more)

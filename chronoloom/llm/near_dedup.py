@@ -19,18 +19,19 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, as_text, join_groups, save
-from .links import link
+from .common import as_long, as_text, join_groups, might_contain, save
+from .links import Tools, link
 
 FEATURES = 1 << 20
 CHUNK = 1 << 12
@@ -184,12 +185,66 @@ def _bands(texts: pd.Series, weights: np.ndarray, o: Options) -> list[np.ndarray
     return out
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: np.ndarray, features: int) -> float:
-    (ha, na), (hb, nb) = a, b
-    sa, sb = float((na * weights[slots(ha, features)]).sum()), float((nb * weights[slots(hb, features)]).sum())
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    both = float((np.minimum(na[i], nb[j]) * weights[slots(ha[i], features)]).sum())
-    return both / (sa + sb - both) if sa + sb > both else 0.0
+class Weighted:
+    """Weighted sets of texts, by id; the last few million shingles are kept, since a candidate comes in many pairs.
+
+    The k-th occurrence of a shingle is an element of its own, so that weighted Jaccard similarity is that of sets of weighted elements.
+    """
+
+    def __init__(self, weights: np.ndarray, o: Options, most: int = 1_000_000):
+        self.weights, self.o, self.most, self.held = weights, o, most, 0
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+
+    def get(self, i: int, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """Elements in order, their weights and the sum of these."""
+        if (found := self.known.get(i)) is None:
+            h, n = shingled(text, self.o.shingle)
+            unit = self.weights[slots(h, self.o.features)]
+            if len(n) and n.max() > 1:
+                at = np.repeat(np.arange(len(h)), n)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                with np.errstate(over="ignore"):
+                    h, unit = h[at] + nth.astype(np.uint64) * _ODD, unit[at]
+                order = np.argsort(h, kind="stable")
+                h, unit = h[order], unit[order]
+            if self.held + len(h) > self.most:
+                self.known.clear()
+                self.held = 0
+            found = self.known[i] = (h, unit, float(unit.sum(dtype=float)))
+            self.held += len(h)
+        return found
+
+    def jaccard(self, a: tuple, b: tuple) -> float:
+        if not len(a[0]) or not len(b[0]):
+            return 0.0
+        at = np.searchsorted(b[0], a[0])
+        at[at == len(b[0])] = 0
+        both = float(a[1][b[0][at] == a[0]].sum(dtype=float))
+        return both / (a[2] + b[2] - both)
+
+    def links(self, left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+        """The linked pairs of different components between two blocks of (comp, id, text)."""
+        if len(left) * len(right) <= 16:
+            return [(min(i, j), max(i, j)) for c, i, x in left for d, j, y in right if c != d and self.jaccard(self.get(i, x), self.get(j, y)) >= self.o.similarity]
+        a, b = [self.get(i, x) for _, i, x in left], [self.get(j, y) for _, j, y in right]
+        # only elements of both sides can add to an intersection
+        common = np.intersect1d(np.unique(np.concatenate([x[0] for x in a])), np.unique(np.concatenate([x[0] for x in b])), assume_unique=True)
+        if not len(common):
+            return []
+
+        def matrix(sets: list[tuple], weigh: bool) -> np.ndarray:
+            out = np.zeros((len(sets), len(common)))
+            for r, (h, unit, _) in enumerate(sets):
+                at = np.searchsorted(common, h)
+                at[at == len(common)] = 0
+                hit = common[at] == h
+                out[r, at[hit]] = unit[hit] if weigh else 1
+            return out
+
+        both = matrix(a, True) @ matrix(b, False).T
+        total = np.array([x[2] for x in a])[:, None] + np.array([x[2] for x in b])
+        apart = np.array([c for c, _, _ in left])[:, None] != np.array([c for c, _, _ in right])
+        return [(min(left[r][1], right[k][1]), max(left[r][1], right[k][1])) for r, k in zip(*np.nonzero(apart & (both >= self.o.similarity * (total - both))), strict=True)]
 
 
 def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
@@ -206,26 +261,31 @@ def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     rows = save(as_long(hashed.mapInPandas(banded, "doc_id string, id long, bands array<long>"), "doc_id"), "near-signatures")
     members = rows.filter("bands is not null").groupBy("id").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "id")
 
-    def verifier(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        texts = save(hashed.select("id", "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+    def tools(ids: DataFrame) -> Tools:
+        ids = save(ids, "near-candidates")
+        texts = save(might_contain(hashed.select("id", "text"), "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
 
-        def verify(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        @F.pandas_udf("boolean")
+        def near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            sets = Weighted(weights.value, o)
+            for batch in batches:
+                yield pd.Series([sets.jaccard(sets.get(i, x), sets.get(j, y)) >= o.similarity for i, x, j, y in zip(*batch, strict=True)], dtype=bool)
 
-            @F.pandas_udf("boolean")
-            def near(a: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.Series:
-                last, made, out = None, None, []
-                for i, x, y in zip(a, ta, tb, strict=True):
-                    if i != last:
-                        last, made = i, shingled(x, o.shingle)
-                    out.append(weighted_jaccard(made, shingled(y, o.shingle), weights.value, o.features) >= o.similarity)
-                return pd.Series(out, dtype=bool)
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = Weighted(weights.value, o)
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    sides = [[(e["comp"], e["id"], e["text"]) for e in batch.column(side)[k].as_py()] for side in ("left", "right")]
+                    if found := sets.links(*sides):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-            return both.filter(near("a", "ta", "tb")).select("a", "b")
+        def verify(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+            return both.filter(near("a", "ta", "b", "tb")).select("a", "b")
 
-        return verify
+        return texts, verify, lambda met: met.select("left", "right").mapInArrow(compared, "a long, b long")
 
-    comps = link(members, verifier)
+    comps = link(members, tools)
     return save(rows.drop("bands").join(comps, "id", "left").select("doc_id", F.col("id").alias("text_hash"), F.coalesce("comp", "id").alias("class_hash")), "near-classes")
 
 
