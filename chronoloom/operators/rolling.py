@@ -35,8 +35,13 @@ def _lag_name(i: int, what: str) -> str:
     return f"_{what}{i}"
 
 
-def rolling(df: DataFrame, features: list[Feature], spec: SeriesSpec = EVENTS) -> DataFrame:
-    """df with one column per feature. Missing values are null; integers are computed as doubles."""
+#: Kinds whose result isn't filled.
+UNFILLED = ("log_relative", "log_returns", "detrend", "future_change", "future_change_vol")
+
+
+def rolling(df: DataFrame, features: list[Feature], spec: SeriesSpec = EVENTS, fill: bool = True) -> DataFrame:
+    """df with one column per feature. Missing values are null; integers are computed as doubles. Without ``fill``, results are
+    left as the frames give them."""
     x = F.col(spec.value).cast("double")
     w = spec.w
     lags: dict[str, Column] = {}
@@ -105,7 +110,7 @@ def rolling(df: DataFrame, features: list[Feature], spec: SeriesSpec = EVENTS) -
         else:
             raise ValueError(f"unknown feature: {f.kind}")
         shifts.setdefault(out, F.col(out))
-        final[f.alias] = fb(F.col(out), w) if filled else F.col(out)
+        final[f.alias] = fb(F.col(out), w) if filled and fill else F.col(out)
     staged = df
     for stage in (lags, frames, {k: v for k, v in shifts.items()}):
         if stage:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar, losses
 from ..functions.fill import fb, rounded
 from ..operators import filters, heavy, kernels, models, panel, scalers, segments, stopping, windows
+from ..operators.long_series import numbered, rolling_long
 from ..operators.rolling import Feature, rolling
 from ..operators.series import EVENTS
 from ..sources import scratch, synthetic, tables
@@ -33,6 +34,13 @@ def _feature(kind: str, missing: bool = False, digits: int = 6, base: bool = Fal
     return run
 
 
+def roll_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, in chunks."""
+    one = tables.table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("series_id"), "ts", "event_id", F.col("value").alias("x"))
+    out = rolling_long(numbered(one, 86_400_000), [Feature("mean", args={"window": N}), Feature("zscore", args={"window": N})], N, 4096)
+    return out.select("series_id", "event_id", rounded(F.col("mean")).alias("mean"), rounded(F.col("zscore")).alias("zscore"))
+
+
 def _scaled(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(tables.event_series(spark, sf_dir)).select("series_id", "event_id", rounded(F.col("x"), 9).alias("y"))
 
@@ -285,6 +293,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "roll_future_change_vol": (_feature("future_change_vol", horizon=6), sql.feature(f"(avg(x) OVER ({sql.W} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) - x) / (1 + stddev_pop(x) OVER ({sql.W} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING))", filled=False)),
     "roll_entropy": (_feature("entropy", window=N, digits=4), sql.entropy(N)),
     "roll_fractal_dim": (_feature("fractal", window=N), sql.fractal(N)),
+    "roll_long": (roll_long, f"WITH s AS (SELECT 0::BIGINT AS series_id, event_id, ts, value AS x FROM events), r AS (SELECT *, {_AVG} AS m, (x - {_AVG}) / (stddev_samp(x) OVER ({sql.frame(N)}) + 1e-10) AS z FROM s) SELECT series_id, event_id, {_S('m')} AS mean, {_S(sql.fb('z'))} AS zscore FROM r"),
     "roll_hurst": (_heavy("hurst", 32), None),
     "roll_fft": (_heavy("fft", N), None),
     "roll_entropy_rate": (_heavy("entropy_rate", N), None),

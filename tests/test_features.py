@@ -171,3 +171,19 @@ def test_filters(spark, walk):
     assert many.shape == (4, 2) and not np.isnan(many).any()
     with pytest.raises(ValueError):
         filters.robust_ukf(np.ones(3))
+
+
+def test_long_series_in_chunks(spark, walk):
+    from chronoloom.operators.long_series import numbered, rolling_long
+
+    kinds = [Feature("mean", args={"window": 5}), Feature("std", args={"window": 5, "shift": 2}), Feature("slope", args={"window": 6}), Feature("autocorr", args={"window": 6, "lag": 2}), Feature("lag_change", args={"lag": 3})]
+    holes = [v if i < 20 or i > 45 else None for i, v in enumerate(walk[0])]
+    df = series(spark, walk[0], walk[1], holes)
+    placed = numbered(df, 7 * 3_600_000)
+    assert [r.seq for r in placed.filter("series_id = 1").orderBy("event_id").collect()] == list(range(80))
+    want, got = rolling(df, kinds), rolling_long(placed, kinds, 10, 16)
+    for key in range(3):
+        for f in kinds:
+            np.testing.assert_allclose(column(got, f.alias, key), column(want, f.alias, key), rtol=1e-9, atol=1e-9)
+    with pytest.raises(ValueError):
+        rolling_long(placed, [Feature("future_change", args={"horizon": 3})], 10)
