@@ -81,7 +81,7 @@ def _placed(docs: DataFrame, weights: tuple, share: float, most: float, knots: t
     rows = save(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("digest")), "mix-rows")
     per = save(targets(rows, weights, share, most), "mix-targets")
     by_source = F.col("r.source").eqNullSafe(F.col("s.source"))
-    rows = rows.alias("r").join(F.broadcast(per.withColumn("cells", F.ceil(F.sqrt("source_rows")))).alias("s"), by_source)
+    rows = rows.alias("r").join(per.withColumn("cells", F.ceil(F.sqrt("source_rows"))).alias("s"), by_source)
     fraction = F.conv(F.substring("digest", 1, 12), 16, 10).cast("long") / float(16**12)
     rows = rows.select("r.*", "source_size", "target", "rank", F.floor(fraction * F.col("cells")).alias("cell"))
     cells = rows.groupBy("rank", "cell").agg(F.sum("size").alias("words"))
