@@ -99,9 +99,9 @@ def schedule(segments: pd.DataFrame, batch_size: int, shuffle: bool = False, see
     return pd.DataFrame(out, columns=["batch_no", "lane", "seg_key", "item_no", "connected", "lookback", "max_lookback", "sort_pos"])
 
 
-def batches(items: DataFrame, batch_size: int, shuffle: bool = False, seed: int = 0, epochs: int = 1) -> DataFrame:
+def batches(items: DataFrame, batch_size: int, shuffle: bool = False, seed: int = 0, epochs: int = 1, zero: Column | None = None) -> DataFrame:
     """Segment items (seg_key, lookback, item_no, x_window, y) with their place in the batches; x_window is padded on the
-    right to the longest lookback of its batch.
+    right to the longest lookback of its batch, with ``zero`` (0.0; an array where the windows' values are arrays).
 
     Only the segments' sizes are scheduled, in one task for each epoch's worth (``epochs`` groups by hash of the segment, each with
     batches of its own); the items themselves meet their places by an equi-join.
@@ -113,4 +113,4 @@ def batches(items: DataFrame, batch_size: int, shuffle: bool = False, seed: int
 
     places = sizes.groupBy("epoch").applyInPandas(plan, SCHEDULE + ", epoch long").drop("lookback")
     out = items.join(places, ["seg_key", "item_no"])
-    return out.withColumn("x_window", F.concat("x_window", F.array_repeat(F.lit(0.0), (F.col("max_lookback") - F.size("x_window")).cast("int"))))
+    return out.withColumn("x_window", F.concat("x_window", F.array_repeat(F.lit(0.0) if zero is None else zero, (F.col("max_lookback") - F.size("x_window")).cast("int"))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, losses
 from ..functions.fill import fb, rounded
-from ..operators import filters, heavy, kernels, models, panel, scalers, segments, stopping, windows
+from ..operators import filters, heavy, kernels, models, panel, scalers, segments, stopping, trainers, windows
 from ..operators.long_series import numbered, rolling_long
 from ..operators.rolling import Feature, rolling
 from ..operators.series import EVENTS
@@ -319,6 +319,9 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "seg_normal": (_segments("normal"), None),
     "seg_random": (seg_random, None),
     "seg_lane_batches": (seg_lane_batches, None),
+    "seg_epoch": (lambda s, d: trainers.epoch(tables.hourly_grid(s, d), [4, 8, 12], 16, 32, 4, 16, seed=42), None),
+    "panel_epoch": (lambda s, d: trainers.lazy_epoch(tables.panel(s, d), ["feature"], "responder", [1, 2], 8, 32, 4, 12, 42), None),
+    "panel_test_segment": (lambda s, d: trainers.test_segment(tables.panel(s, d), ["feature"], "responder", 2, 42), None),
     "panel_lazy_sample": (panel_lazy_sample, None),
     "kf_local_trend": (kf_local_trend, sql.kalman("value") + _KF_OUT),
     "kf_missing": (kf_missing, sql.kalman(sql.MISSING) + _KF_OUT),
