@@ -39,7 +39,8 @@ SPARSE, DENSE = 20, 32
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, doc_hash, line_no, line and id (the line's hash)."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    hashed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("doc_hash"))  # below the explode: once a document
+    out = hashed.select("doc_id", "doc_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return out.withColumn("id", F.xxhash64("line"))
 
 
