@@ -53,9 +53,10 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingled(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a text's shingles, sorted, and their counts."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingled(text: str | bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's shingles, sorted, and their counts; bytes are UTF-8."""
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    words = data.lower().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -195,10 +196,10 @@ class Weighted:
         self.weights, self.o, self.most, self.held = weights, o, most, 0
         self.known: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
 
-    def get(self, i: int, text: str) -> tuple[np.ndarray, np.ndarray, float]:
-        """Elements in order, their weights and the sum of these."""
+    def get(self, i: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+        """Elements in order, their weights and the sum of these; packed is the text, compressed."""
         if (found := self.known.get(i)) is None:
-            h, n = shingled(text, self.o.shingle)
+            h, n = shingled(zlib.decompress(packed), self.o.shingle)
             unit = self.weights[slots(h, self.o.features)]
             if len(n) and n.max() > 1:
                 at = np.repeat(np.arange(len(h)), n)
@@ -261,9 +262,15 @@ def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     rows = save(as_long(hashed.mapInPandas(banded, "doc_id string, id long, bands array<long>"), "doc_id"), "near-signatures")
     members = rows.filter("bands is not null").groupBy("id").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "id")
 
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "text": [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in pdf["text"]]})
+
     def tools(ids: DataFrame) -> Tools:
         ids = save(ids, "near-candidates")
-        texts = save(might_contain(hashed.select("id", "text"), "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+        # compressed before they are shuffled, since a candidate's text travels several times
+        asked = might_contain(hashed.select("id", "text"), "id", ids).mapInPandas(packed, "id long, text binary")
+        texts = save(asked.join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
 
         @F.pandas_udf("boolean")
         def near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
