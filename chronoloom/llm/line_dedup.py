@@ -63,10 +63,11 @@ def banded(rows: DataFrame, hashes: str, bands: int, per_band: int, kind: int) -
     points = [-(1 << 63) + ((2 * j + 1) << 63) // bands for j in range(bands)]
     fixed = F.array(*[F.lit(p) for p in points])
     rest = [c for c in rows.columns if c != hashes]
-    sorted_ = rows.withColumn("_m", F.sort_array(F.array_distinct(F.concat(F.col(hashes), fixed))))
-    circle = sorted_.withColumn("_c", F.concat("_m", "_m"))
-    after = lambda p: F.array_except(F.slice("_c", (F.array_position("_m", F.lit(p)) + 1).cast("int"), F.lit(per_band + bands)), fixed)
-    keys = F.array(*[F.xxhash64(F.slice(after(p), F.lit(1), F.lit(per_band)), F.lit(j), F.lit(kind)) for j, p in enumerate(points)])
+    marked = rows.withColumn("_m", F.sort_array(F.array_distinct(F.concat(F.col(hashes), fixed)))).withColumn("_h", F.array_except("_m", fixed))
+    circle = marked.withColumn("_c", F.concat("_h", "_h"))
+    # before point j of the marked array there are j other points, so its place less j is where the next hash stands without points
+    after = lambda j, p: F.slice("_c", (F.array_position("_m", F.lit(p)) - j).cast("int"), F.lit(per_band))
+    keys = F.array(*[F.xxhash64(after(j, p), F.lit(j), F.lit(kind)) for j, p in enumerate(points)])
     return circle.select(*rest, F.when(F.col(hashes).isNotNull(), keys).alias(hashes))
 
 
