@@ -16,8 +16,8 @@ candidates; their Jaccard similarity is then found exactly, over all their shing
 
 Lines are identified by 64-bit hashes; among n different lines n**2 / 2**65 pairs are expected to be mistaken for each other.
 
-Defined results: a null text counts as empty. Lines of fewer than ``shingle`` characters, blank ones among them, have no shingle:
-they are kept always. Rows with the same id and text count as one document and get one verdict. An empty table gives an
+Defined results: a null text counts as empty. Blank lines and lines of fewer than ``least`` characters are kept always; with WHOLE,
+as the query and the pipeline run, every line that holds a word is compared. Rows with the same id and text count as one document and get one verdict. An empty table gives an
 empty result. Other columns are ignored, or kept by dedup_lines.
 """
 
@@ -32,6 +32,8 @@ from .common import join_groups, might_contain, save
 from .links import Tools, link
 
 SHINGLE, SIMILARITY, BANDS, ROWS, AHEAD = 8, 0.8, 8, 3, 3
+#: The options of the query and the pipeline: lines of any length are compared.
+WHOLE = {"least": 1}
 #: Characters to a word: below the first only words count, above the last only places, between them both.
 SPARSE, DENSE = 20, 32
 
@@ -44,8 +46,8 @@ def lines(docs: DataFrame) -> DataFrame:
     return out.withColumn("id", F.xxhash64("line"))
 
 
-def compared(line: Column, shingle: int) -> Column:
-    return (F.length(line) >= shingle) & line.rlike(r"[^\x20\x09-\x0D]")
+def compared(line: Column, least: int) -> Column:
+    return (F.length(line) >= least) & line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def with_shingles(rows: DataFrame, shingle: int, ahead: int = AHEAD) -> DataFrame:
@@ -98,9 +100,9 @@ def linked_blocks(met: DataFrame, similarity: float) -> DataFrame:
     return one.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, least: int = SHINGLE) -> DataFrame:
     """One row per line: doc_id, doc_hash, line_no, line_hash, class_hash (its component's least line hash) and kept."""
-    all_lines = lines(docs).withColumn("compared", compared(F.col("line"), shingle))
+    all_lines = lines(docs).withColumn("compared", compared(F.col("line"), least))
     signed = with_shingles(all_lines.withColumn("line", F.when(F.col("compared"), F.col("line"))), shingle)
     signed = banded(banded(signed, "at_words", bands, rows, 0), "at_places", bands, rows, 1)
     keys = F.concat(F.coalesce("at_words", F.array()), F.coalesce("at_places", F.array())).alias("bands")

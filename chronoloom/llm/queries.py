@@ -20,7 +20,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(documents(spark, sf_dir)).drop("doc_hash")
+    return line_dedup.line_classes(documents(spark, sf_dir), **line_dedup.WHOLE).drop("doc_hash")
 
 
 def op4_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

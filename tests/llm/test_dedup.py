@@ -179,6 +179,19 @@ def test_lines(spark, corpus, odd, nothing):
     assert line_dedup.dedup_lines(odd).count() == odd.count()
 
 
+def test_short_lines(spark, tmp_path):
+    """The query and the pipeline's stage leave one copy of a line however short; blank lines stay."""
+    import corpus_pipeline
+    from chronoloom.llm import queries
+
+    docs = frame(spark, [(1, "Les.\n\na", "s"), (2, "Les.\n \nLes!", "s"), (3, "a\nLes.\n\n ", "s")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): r.kept for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == 10 and {k for k, kept in got.items() if not kept} == {(2, 0), (3, 0), (3, 1)}
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()}
+    assert out == {1: "Les.\n\na", 2: " \nLes!", 3: "\n "}
+
+
 def test_no_pairs_of_a_large_group(spark):
     """Near copies of one text, and copies too far from it: rows grow with the group, not with its square, and no link is lost."""
     import random
