@@ -4,15 +4,17 @@ Lines (split at \\n) are compared by their sets of character shingles and are du
 ``similarity`` or more, or linked by a chain of such lines. One line of each component stays: the one with the least document id,
 then the least place.
 
-Shingles: one begins at each word (the characters between single spaces) and ends ``ahead`` characters into the next word, about
-nine characters in all; every character is in one. Lines with long runs without a space, over 32 characters to a word on average,
-are shingled at all places, ``shingle`` characters each. Lines between 20 and 32 characters to a word are compared both ways, so that
-no pair is lost where the two meet.
+Shingles: with WHOLE, as the query and the pipeline run, one begins at each place, ``shingle`` characters long; a shorter line is one
+shingle as a whole. Otherwise (``words``) one begins at each word (the characters between single spaces) and ends ``ahead`` characters
+into the next word, about nine characters in all; lines with over 32 characters to a word on average are shingled at all places, and
+those between 20 and 32 are compared both ways.
 
 Signature: all shingles of a line are hashed once. From each of ``bands`` fixed points of the hash circle the next ``rows``
 hashes make up a band: two lines agree there with probability similarity ** rows, as with ``rows`` independent minima each (0.997
 for 8 bands of 3 at 0.8). A band always holds ``rows`` different shingles, or all of them. Lines that share a band are
-candidates; their Jaccard similarity is then found exactly, over all their shingles.
+candidates; their Jaccard similarity is then found exactly, over all their shingles, which are made anew from the lines: those take
+less room in a shuffle. Blocks of lines are compared by prefixes first: of two sets in one order, with a similarity of t or more,
+the first n - ceil(t * n) + 1 elements of each have one in common.
 
 Lines are identified by 64-bit hashes; among n different lines n**2 / 2**65 pairs are expected to be mistaken for each other.
 
@@ -24,6 +26,8 @@ empty result. Other columns are ignored, or kept by dedup_lines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +36,8 @@ from .common import join_groups, might_contain, save
 from .links import Tools, link
 
 SHINGLE, SIMILARITY, BANDS, ROWS, AHEAD = 8, 0.8, 8, 3, 3
-#: The options of the query and the pipeline: lines of any length are compared.
-WHOLE = {"least": 1}
+#: The options of the query and the pipeline: lines of any length are compared, by their shingles at all places.
+WHOLE = {"least": 1, "words": False}
 #: Characters to a word: below the first only words count, above the last only places, between them both.
 SPARSE, DENSE = 20, 32
 
@@ -50,14 +54,26 @@ def compared(line: Column, least: int) -> Column:
     return (F.length(line) >= least) & line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def with_shingles(rows: DataFrame, shingle: int, ahead: int = AHEAD) -> DataFrame:
-    """rows with ``at_words`` and ``at_places`` in place of ``line``: the hashes of the line's shingles of either kind, or null."""
-    rest = [c for c in rows.columns if c != "line"]
-    words = rows.withColumn("_words", F.split("line", " ")).withColumn("_per", F.length("line") / F.size("_words"))
-    shifted = words.withColumn("_next", F.slice("_words", F.lit(2), F.size("_words")))
-    at_words = F.zip_with("_words", "_next", lambda a, b: F.xxhash64(a, F.substring(b, 1, ahead)))
-    at_places = F.transform(F.regexp_extract_all("line", F.lit(r"(?s)(?=(.{%d}))" % shingle), F.lit(1)), lambda x: F.xxhash64(x))
-    return shifted.select(*rest, F.when(F.col("_per") <= DENSE, at_words).alias("at_words"), F.when(F.col("_per") >= SPARSE, at_places).alias("at_places"))
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def at_places(line: Column, shingle: int) -> Column:
+    """The hashes of the shingles at all places; 4 bytes a character, so that a shingle is found without counting characters."""
+    begins = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (4 * shingle - 1), F.lit(1)), F.lit(4))
+    return bound(F.encode(line, "UTF-32"), lambda b: F.transform(begins(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * shingle)))))
+
+
+def shingles(line: Column, shingle: int, words: bool, ahead: int = AHEAD) -> dict[str, Column]:
+    """The hashes of the line's shingles by kind, ``at_words`` (with words) and ``at_places``, or null."""
+    places = at_places(line, shingle)
+    if not words:
+        return {"at_places": F.when(line.isNotNull(), places)}
+    parts = F.split(line, " ")
+    per = F.length(line) / F.size(parts)
+    at_words = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.xxhash64(a, F.substring(b, 1, ahead)))
+    return {"at_words": F.when(per <= DENSE, at_words), "at_places": F.when(per >= SPARSE, places)}
 
 
 def banded(rows: DataFrame, hashes: str, bands: int, per_band: int, kind: int) -> DataFrame:
@@ -77,44 +93,69 @@ def _enough(common: Column, a: Column, b: Column, similarity: float) -> Column:
     return F.coalesce((common > 0) & (common >= similarity * (F.size(a) + F.size(b) - common)), F.lit(False))
 
 
-def similar(sets: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
+def similar(lines_: DataFrame, shingle: int, similarity: float, words: bool) -> Callable[[DataFrame], DataFrame]:
     """Keeps the pairs (a, b) of ids whose lines' exact Jaccard similarity, of either kind, is high enough."""
 
+    def sets(line: str) -> Column:
+        return F.struct(*[F.array_distinct(h).alias(c) for c, h in shingles(F.col(line), shingle, words).items()])
+
+    def near(p: Column) -> Column:
+        kinds = ["at_words", "at_places"] if words else ["at_places"]
+        return reduce(or_, [_enough(F.size(F.array_intersect(p["x"][c], p["y"][c])), p["x"][c], p["y"][c], similarity) for c in kinds])
+
     def verify(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("at_words").alias("wa"), F.col("at_places").alias("pa"))
-        b = sets.select(F.col("id").alias("b"), F.col("at_words").alias("wb"), F.col("at_places").alias("pb"))
-        both = pairs.join(a, "a").join(b, "b").withColumns({"cw": F.size(F.array_intersect("wa", "wb")), "cp": F.size(F.array_intersect("pa", "pb"))})
-        return both.filter(_enough(F.col("cw"), F.col("wa"), F.col("wb"), similarity) | _enough(F.col("cp"), F.col("pa"), F.col("pb"), similarity)).select("a", "b")
+        a = lines_.select(F.col("id").alias("a"), F.col("line").alias("la"))
+        b = lines_.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+        return pairs.join(a, "a").join(b, "b").filter(F.exists(F.array(F.struct(sets("la").alias("x"), sets("lb").alias("y"))), near)).select("a", "b")
 
     return verify
 
 
-def linked_blocks(met: DataFrame, similarity: float) -> DataFrame:
+def linked_blocks(met: DataFrame, shingle: int, similarity: float, words: bool) -> DataFrame:
     """The links (a, b) between the lines of two blocks that lie in different components."""
 
+    def item(x: Column) -> Column:
+        def kind(h: Column) -> Column:
+            n = F.size(h)
+            return F.struct(h.alias("all"), F.slice(h, F.lit(1), (n - F.ceil(similarity * n) + 1).cast("int")).alias("prefix"))
+
+        sets = [bound(F.sort_array(F.array_distinct(h)), kind).alias(c) for c, h in shingles(x["line"], shingle, words).items()]
+        return F.struct(x["comp"].alias("comp"), x["id"].alias("id"), *sets)
+
     def near(x: Column, y: Column) -> Column:
-        kinds = [_enough(F.size(F.array_intersect(x[c], y[c])), x[c], y[c], similarity) for c in ("at_words", "at_places")]
-        return (x["comp"] != y["comp"]) & (kinds[0] | kinds[1])
+        def kind(p: Column, q: Column) -> Column:
+            sizes = (F.size(p["all"]) >= similarity * F.size(q["all"])) & (F.size(q["all"]) >= similarity * F.size(p["all"]))
+            common = F.size(F.array_intersect(p["all"], q["all"]))
+            return F.coalesce(sizes & F.arrays_overlap(p["prefix"], q["prefix"]) & _enough(common, p["all"], q["all"], similarity), F.lit(False))
+
+        kinds = ["at_words", "at_places"] if words else ["at_places"]
+        return (x["comp"] != y["comp"]) & reduce(or_, [kind(x[c], y[c]) for c in kinds])
+
+    def links(m: Column) -> Column:
+        of = lambda x: F.transform(F.filter(m["right"], lambda y: near(x, y)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+        return F.flatten(F.transform(m["left"], of))
 
-    one = met.select(F.explode("left").alias("x"), "right").select("x", F.explode(F.filter("right", lambda y: near(F.col("x"), y))).alias("y"))
-    return one.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    sides = F.struct(F.transform("left", item).alias("left"), F.transform("right", item).alias("right"))
+    return met.select(F.explode(bound(sides, links)).alias("l")).select("l.a", "l.b")
 
 
-def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, least: int = SHINGLE) -> DataFrame:
+def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, least: int = SHINGLE, words: bool = True) -> DataFrame:
     """One row per line: doc_id, doc_hash, line_no, line_hash, class_hash (its component's least line hash) and kept."""
     all_lines = lines(docs).withColumn("compared", compared(F.col("line"), least))
-    signed = with_shingles(all_lines.withColumn("line", F.when(F.col("compared"), F.col("line"))), shingle)
-    signed = banded(banded(signed, "at_words", bands, rows, 0), "at_places", bands, rows, 1)
-    keys = F.concat(F.coalesce("at_words", F.array()), F.coalesce("at_places", F.array())).alias("bands")
+    masked = F.when(F.col("compared"), F.col("line"))
+    signed = all_lines.select("doc_id", "doc_hash", "line_no", "id", "compared", *[h.alias(c) for c, h in shingles(masked, shingle, words).items()])
+    kinds = [c for c in ("at_words", "at_places") if c in signed.columns]
+    for c in kinds:
+        signed = banded(signed, c, bands, rows, int(c == "at_places"))
+    keys = F.concat(*[F.coalesce(c, F.array()) for c in kinds]).alias("bands")
     places = save(signed.select("doc_id", "doc_hash", "line_no", "id", "compared", keys), "line-signatures")
     members = places.select(F.explode("bands").alias("key"), "id")
 
     def tools(ids: DataFrame) -> Tools:
         ids = save(ids, "line-candidates")
         asked = might_contain(all_lines.filter("compared").select("id", "line"), "id", ids)
-        sets = with_shingles(asked, shingle).withColumns({c: F.array_distinct(c) for c in ("at_words", "at_places")})
-        sets = save(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-shingles")
-        return sets, similar(sets, similarity), lambda met: linked_blocks(met, similarity)
+        asked = save(asked.join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+        return asked, similar(asked, shingle, similarity, words), lambda met: linked_blocks(met, shingle, similarity, words)
 
     comps = link(members, tools)
     classed = places.drop("bands").join(comps, "id", "left").withColumn("class_hash", F.coalesce("comp", "id")).drop("comp")

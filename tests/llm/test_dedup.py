@@ -179,6 +179,35 @@ def test_lines(spark, corpus, odd, nothing):
     assert line_dedup.dedup_lines(odd).count() == odd.count()
 
 
+def test_lines_at_all_places(spark, corpus, tmp_path):
+    """The query's classes are those of the Jaccard similarity over all character shingles."""
+    from chronoloom.llm import queries
+
+    tail = "ingle-unbroken-words-differ at their very ends"
+    extra = ["abcdefghijklmnopqrst", "abcdefghijklmnopqrsu", f"s{tail} a", f"s{tail} b", "three wordsofsome lengthy", "three wordsofsome lengthx", "ÄÖÜ😀 ßßéèñ ÿþðœ æø𝒳å", "ÄÖÜ😀 ßßéèñ ÿþðœ æø𝒳ä"]
+    docs = corpus.filter("doc_id >= 100 and doc_id < 6000").unionByName(frame(spark, [(7000 + i, x, "s") for i, x in enumerate(extra)]))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = {(r.doc_id, i): x for r in docs.collect() for i, x in enumerate((r.text or "").split("\n"))}
+    seen = sorted({x for x in at.values() if x.strip(" \t\n\v\f\r")})
+    sets = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in seen}
+    s = Sets()
+    for a, b in combinations(seen, 2):
+        p, q = sets[a], sets[b]
+        if 4 * len(q) <= 5 * len(p) and 4 * len(p) <= 5 * len(q) and 5 * len(p & q) >= 4 * len(p | q):
+            s.join(a, b)
+    assert all(s.find(a) == s.find(b) for a, b in zip(extra[::2], extra[1::2], strict=True))
+    mine, kept = defaultdict(set), Counter()
+    for r in queries.op3_line_dedup(spark, str(tmp_path)).collect():
+        x = at[(r.doc_id, r.line_no)]
+        if x in sets:
+            mine[r.class_hash].add(x)
+            kept[r.class_hash] += r.kept
+        else:
+            assert r.kept
+    assert set(map(frozenset, mine.values())) == s.groups(seen)
+    assert set(kept.values()) == {1}
+
+
 def test_short_lines(spark, tmp_path):
     """The query and the pipeline's stage leave one copy of a line however short; blank lines stay."""
     import corpus_pipeline
