@@ -8,7 +8,8 @@ manifest is written once all tasks have ended.
 The reader checks every record: the gzip member, the version line, the header, the lengths, the end of the record and its block
 digest. After a failed check it searches for the next gzip member that begins with a version line (or, in an archive without
 compression, the next version line) from which a whole record can be read, goes on there, and reports the bytes between
-as a quarantined gap with the reason.
+as a quarantined gap with the reason. In a whole gzip member of several records only the damaged part is lost: its gap is the member's
+place, and the reason names the bytes of the content.
 
 Defined results: null html counts as an empty payload. Rows that share both the payload and its largest page_id are
 responses all. Pages without an id can't be referred to: among equal payloads without any id, all are responses. An
@@ -108,13 +109,14 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
         try:
             if packed:
                 raw, end = member(data, at)
-                got, pos = [], 0
-                while pos < len(raw):
-                    header, block, pos = parse(raw, pos)
-                    got.append((at, header, block))
+                inside, lost = _unpacked(raw)
+                if lost and not inside:
+                    raise ValueError(lost[0][2])
+                got = [(at, header, block) for header, block in inside]
+                parts = [(at, end, f"{why} (bytes {a} to {b} of the member's content)") for a, b, why in lost]
             else:
                 header, block, end = parse(data, at)
-                got = [(at, header, block)]
+                got, parts = [(at, header, block)], []
         except ValueError as e:
             bad = bad or (at, str(e))
             at = _next(data, at + 1)
@@ -123,12 +125,33 @@ def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[
             gaps.append((bad[0], at, bad[1]))
             bad = None
         records += got
+        gaps += parts
         at = end
     if bad:
         gaps.append((bad[0], len(data), bad[1]))
     return records, gaps
 
 
+def _unpacked(raw: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The records of a member's content, and what lies between them that fails the checks: start, end and reason."""
+    got, lost, pos, bad = [], [], 0, None
+    while pos < len(raw):
+        try:
+            header, block, end = parse(raw, pos)
+        except ValueError as e:
+            bad = bad or (pos, str(e))
+            pos = m.start() if (m := VERSION.search(raw, pos + 1)) else len(raw)
+            continue
+        if bad:
+            lost.append((bad[0], pos, bad[1]))
+            bad = None
+        got.append((header, block))
+        pos = end
+    if bad:
+        lost.append((bad[0], len(raw), bad[1]))
+    return got, lost
+
+
 def _next(data: bytes, at: int) -> int:
     """The next place that looks like a member that begins with a version line, or like a version line."""
     while True:

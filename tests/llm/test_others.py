@@ -182,6 +182,18 @@ def test_salvage(archive, kind):
     assert warc.salvage(b"") == ([], []) and warc.salvage(b"rubbish")[1] == [(0, 7, "no version line")]
 
 
+def test_salvage_inside_a_member(archive):
+    """Of several records in one gzip member a damaged one is lost alone."""
+    plain, packed = archive
+    bad = plain[4].replace(b"<html>4", b"<html>5", 1)
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    one = c.compress(b"".join([*plain[:4], bad, *plain[5:]])) + c.flush()
+    records, gaps = warc.salvage(packed[0] + one + packed[1])
+    assert [warc._page(h["warc-record-id"]) for _, h, _ in records] == [0, *[i for i in range(12) if i != 4], 1]
+    start = sum(map(len, plain[:4]))
+    assert gaps == [(len(packed[0]), len(packed[0]) + len(one), f"the block digest differs (bytes {start} to {start + len(bad)} of the member's content)")]
+
+
 def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
