@@ -58,13 +58,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return save(docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("text_sha256")), "digest-rows")
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "0") -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     group_size counts the batch. A text that an earlier batch brought in is kept nowhere in this one, and keep_id is the
-    id that stayed then. All new texts of the batch are in the index afterwards.
+    id that stayed then. All new texts of the batch are in the index afterwards. A batch has a name of its own: a new one
+    unless given, and one that the index holds already is refused.
     """
     index = index or DigestIndex(docs.sparkSession)
+    if batch is None:
+        batch = uuid.uuid4().hex
+    elif not index.table().filter(F.col("batch") == batch).isEmpty():
+        raise ValueError(f"the index already holds a batch {batch!r}")
     rows = digests(docs)
     groups = save(
         rows.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row_id")).alias("stays"), F.count("*").alias("group_size"))

@@ -59,6 +59,16 @@ def test_exact_index_persists(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_exact_index_without_batch_names(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, "file://" + str(tmp_path / "index"), 4)
+    docs = frame(spark, [(1, "a b", "s"), (2, "c", "s")])
+    assert exact_dedup.dedup(docs, index).filter("kept").count() == 2
+    assert exact_dedup.dedup(docs, index).filter("kept").count() == 0
+    exact_dedup.dedup(frame(spark, [(3, "d", "s")]), index, "1")
+    with pytest.raises(ValueError, match="already holds"):
+        exact_dedup.dedup(docs, index, "1")
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 300).astype(np.uint64)
