@@ -379,7 +379,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "stream_kalman": (_stream(online.kalman), sql.kalman("value") + f" SELECT s.series_id, s.event_id, {_S('k.l')} AS y FROM s JOIN k ON s.series_id = k.series_id AND s.seq = k.seq"),
     "stream_ewma": (_stream(lambda s: online.ewma(s, 1 / 3)), f"{_EWMA} SELECT series_id, event_id, {_S('e')} AS y FROM k"),
     "stream_rolling_mean": (_stream(lambda s: online.rolling_mean(s, N)), f"WITH {sql.events()} SELECT series_id, event_id, {_S(_AVG)} AS y FROM s"),
-    "stream_tumbling": (_stream(online.tumbling), None),
+    "stream_tumbling": (_stream(online.tumbling, "complete"), None),
 }
 
 

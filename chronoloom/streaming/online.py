@@ -82,8 +82,15 @@ def tumbling(stream: DataFrame, width: str = "1 hour", delay: str = "10 minutes"
 
 
 def replay(spark, path: str, schema: str, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 1, mode: str = "append") -> DataFrame:
-    """Run a stream over the Parquet files that a path (a folder or a glob) names until all are read, into Parquet; the result as a DataFrame."""
+    """Run a stream over the Parquet files that a path (a folder or a glob) names until all are read, into Parquet; the result as a DataFrame.
+
+    In complete mode each batch overwrites the result, so that the last one leaves all windows, open ones too.
+    """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    query = transform(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = transform(source).writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    else:
+        writer = writer.format("parquet").option("path", out)
+    writer.start().awaitTermination()
     return spark.read.parquet(out)

@@ -15,3 +15,11 @@ def test_every_event_type_is_filtered(spark, tmp_path):
     got = CATALOGUE["kf_ukf"][0](spark, str(tmp_path))
     assert [c for c in got.columns if c.endswith("_level")] == [f"{k}_level" for k in kinds]
     assert got.filter(" or ".join(f"{k}_level is null or isnan({k}_level)" for k in kinds)).count() == 0 < got.count()
+
+
+def test_tumbling_has_the_open_windows(spark):
+    events = spark.read.parquet(f"{GIVEN}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = events.groupBy(F.col("user_id").alias("series_id"), F.window("ts", "1 hour").alias("w")).agg(F.count("value").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    got = CATALOGUE["stream_tumbling"][0](spark, GIVEN).select("series_id", "start", "n", F.round("total", 4).alias("total"))
+    as_rows = lambda df: sorted(map(tuple, df.collect()))
+    assert as_rows(got) == as_rows(want.select("series_id", "w.start", "n", "total"))
