@@ -255,7 +255,7 @@ def _stream(transform: Callable[[DataFrame], DataFrame], mode: str = "append") -
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema = tables.table(spark, sf_dir, "events").schema
         shape = lambda s: transform(s.select(F.col("user_id").alias("series_id"), "ts", "event_id", F.col("value").alias("x")))
-        return online.replay(spark, f"{sf_dir}/event[s].parquet", schema, shape, scratch.folder(spark, "stream-out"), scratch.folder(spark, "stream-state"), mode=mode)
+        return online.replay(spark, f"{sf_dir}/event[s].parquet", schema, shape, scratch.folder(spark, "stream-out"), scratch.folder(spark, "stream-state"), files_per_batch=None, mode=mode)
 
     return run
 

@@ -81,12 +81,16 @@ def tumbling(stream: DataFrame, width: str = "1 hour", delay: str = "10 minutes"
     return rows.groupBy("series_id", F.window("ts", width).alias("w")).agg(F.count("x").alias("n"), F.sum("x").alias("total"), F.avg("x").alias("mean")).select("series_id", F.col("w.start").alias("start"), "n", "total", "mean")
 
 
-def replay(spark, path: str, schema: str, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 1, mode: str = "append") -> DataFrame:
+def replay(spark, path: str, schema: str, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int | None = 1, mode: str = "append") -> DataFrame:
     """Run a stream over the Parquet files that a path (a folder or a glob) names until all are read, into Parquet; the result as a DataFrame.
 
+    Without files_per_batch all files are one batch, so that no row is late, whatever the order of the files.
     In complete mode each batch overwrites the result, so that the last one leaves all windows, open ones too.
     """
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    source = reader.parquet(path)
     writer = transform(source).writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
     if mode == "complete":
         writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))

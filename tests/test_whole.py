@@ -1,5 +1,6 @@
 """Registered queries over tables that the given ones don't resemble."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.plans.catalogue import CATALOGUE
@@ -23,3 +24,15 @@ def test_tumbling_has_the_open_windows(spark):
     got = CATALOGUE["stream_tumbling"][0](spark, GIVEN).select("series_id", "start", "n", F.round("total", 4).alias("total"))
     as_rows = lambda df: sorted(map(tuple, df.collect()))
     assert as_rows(got) == as_rows(want.select("series_id", "w.start", "n", "total"))
+
+
+@pytest.mark.parametrize("name", ["stream_kalman", "stream_ewma", "stream_rolling_mean", "stream_tumbling"])
+def test_files_out_of_order(spark, tmp_path, name):
+    """A table of several files, the later rows in the older file, gives what one file gives."""
+    events = spark.read.parquet(f"{GIVEN}/events.parquet")
+    middle = events.agg(F.sort_array(F.collect_list("ts"))[500]).first()[0]
+    for part in (F.col("ts") >= middle, F.col("ts") < middle):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    as_rows = lambda path: sorted(map(repr, CATALOGUE[name][0](spark, str(path)).withColumns({c: F.round(c, 4) for c in ("total", "mean") if name == "stream_tumbling"}).collect()))
+    got, want = as_rows(tmp_path), as_rows(GIVEN)
+    assert got == want and len(got) > 900
