@@ -102,18 +102,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, parts: int
     return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"_g.{c}").alias(c) for c in others])
 
 
-def might_contain(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
-    """The rows whose key (a long) may be among the one column of ids, which should be saved; a few others pass.
+def may_contain(rows: DataFrame, key: str, ids: DataFrame, name: str, most_bits: int = 1 << 25) -> DataFrame:
+    """rows with one more column, whether their key (a long) may be among the one column of ids, which should be saved; a few others may too.
 
-    A bitmap over the keys modulo its size, at most ``most_bits`` (8 MB), is broadcast in pieces of 4 KB. It only spares a shuffle
-    rows that the join after it would drop; with more ids than bits it lets all pass.
+    A bitmap over the keys modulo its size is broadcast in words of 64 bits, at most ``most_bits`` (half a million words). It only
+    spares a shuffle rows that the join after it would drop; with more ids than bits it lets all pass.
     """
     bits = 1 << 15
     while bits < most_bits and bits < 16 * ids.count():
         bits <<= 1
-    slot = lambda c: F.pmod(F.col(c), F.lit(bits)) + 1
-    name = ids.columns[0]
-    maps = ids.groupBy(F.bitmap_bucket_number(slot(name)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(name))).alias("_map"))
-    marked = rows.withColumns({"_bucket": F.bitmap_bucket_number(slot(key)), "_at": F.bitmap_bit_position(slot(key))}).join(F.broadcast(maps), "_bucket")
-    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
+    slot = lambda c: F.pmod(F.col(c), F.lit(bits).cast("long"))
+    bit = lambda s: F.col(s).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    held = ids.select(slot(ids.columns[0]).alias("_of")).groupBy(F.shiftright("_of", 6).alias("_word"))
+    words = held.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit("_of"))).alias("_bits"))
+    marked = rows.withColumn("_slot", slot(key)).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    return marked.select(*rows.columns, F.coalesce(F.getbit("_bits", bit("_slot")) == 1, F.lit(False)).alias(name))
+
+
+def might_contain(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key may be among ids, see may_contain."""
+    return may_contain(rows, key, ids, "_may").filter("_may").drop("_may")

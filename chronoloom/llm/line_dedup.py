@@ -4,54 +4,55 @@ Lines (split at \\n) are compared by their sets of character shingles and are du
 ``similarity`` or more, or linked by a chain of such lines. One line of each component stays: the one with the least document id,
 then the least place.
 
-Shingles: with WHOLE, as the query and the pipeline run, one begins at each place, ``shingle`` characters long; a shorter line is one
-shingle as a whole. Otherwise (``words``) one begins at each word (the characters between single spaces) and ends ``ahead`` characters
-into the next word, about nine characters in all; lines with over 32 characters to a word on average are shingled at all places, and
-those between 20 and 32 are compared both ways.
-
-Signature: all shingles of a line are hashed once. From each of ``bands`` fixed points of the hash circle the next ``rows``
-hashes make up a band: two lines agree there with probability similarity ** rows, as with ``rows`` independent minima each (0.997
-for 8 bands of 3 at 0.8). A band always holds ``rows`` different shingles, or all of them. Lines that share a band are
-candidates; their Jaccard similarity is then found exactly, over all their shingles, which are made anew from the lines: those take
-less room in a shuffle. Blocks of lines are compared by prefixes first: of two sets in one order, with a similarity of t or more,
-the first n - ceil(t * n) + 1 elements of each have one in common.
-
-Lines are identified by 64-bit hashes; among n different lines n**2 / 2**65 pairs are expected to be mistaken for each other.
-
-Defined results: a null text counts as empty. Blank lines and lines of fewer than ``least`` characters are kept always; with WHOLE,
-as the query and the pipeline run, every line that holds a word is compared. Rows with the same id and text count as one document and get one verdict. An empty table gives an
-empty result. Other columns are ignored, or kept by dedup_lines.
+Shingles: one begins at each place of a line, ``shingle`` characters (code points) long; a shorter line is one shingle as a whole.
+
+Signature: every shingle of a line is hashed once; the high half of the hash deals it to one of ``bands * rows`` bins, and the
+least low half in each bin is a MinHash of the line. Hashes so high that ``DEPTH`` lower ones are expected in their bin aren't looked at;
+a bin without a lower one (1.8 % at a depth of 4, and many bins of a short line) counts as empty. Band j holds the minima of
+the first ``rows`` bins from bin ``j * rows`` on, round the circle, that aren't empty. Two lines agree in a band with probability
+similarity ** rows, so 8 bands of 3 find a pair at 0.8 with 0.997. Equal lines have one signature: the minima of all lines are found by one
+aggregation by line, most of it before the shuffle.
+
+Lines that share a band are candidates. A bitmap of their shingles rules out most of those that are too far apart, and none
+else (``may_be_alike``); of the others the Jaccard similarity is found exactly, over all their shingles, which are made anew from the
+lines: those take less room in a shuffle.
+
+A line is identified by a 64-bit hash; a second one of 64 bits tells lines with the same first hash apart (see ``apart``).
+
+Defined results: a null text counts as empty. Blank lines (nothing but ASCII white space) are kept always; every other line is compared,
+however short. Rows with the same id and text count as one document and get one verdict. An empty table gives an empty result.
+Other columns are ignored, or kept by dedup_lines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, might_contain, save
+from .common import may_contain, save
 from .links import Tools, link
 
-SHINGLE, SIMILARITY, BANDS, ROWS, AHEAD = 8, 0.8, 8, 3, 3
-#: The options of the query and the pipeline: lines of any length are compared, by their shingles at all places.
-WHOLE = {"least": 1, "words": False}
-#: Characters to a word: below the first only words count, above the last only places, between them both.
-SPARSE, DENSE = 20, 32
+SHINGLE, SIMILARITY, BANDS, ROWS, DEPTH = 8, 0.8, 8, 3, 4
+#: Options of the pipeline's stage: none, every line that holds a word is compared.
+WHOLE: dict = {}
+#: Words of 64 bits in the sketch of a line that may have a partner.
+WORDS = 16
+#: Lines with one 64-bit hash that may be told apart by a broadcast; n lines give n**2 / 2**65 of them.
+MOST_COLLISIONS = 1_000_000
+
+
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_hash, line_no, line and id (the line's hash)."""
+    """doc_id, doc_hash, line_no, line, compared, id and check (two hashes of the line)."""
     text = F.coalesce("text", F.lit(""))
     hashed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("doc_hash"))  # below the explode: once a document
     out = hashed.select("doc_id", "doc_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return out.withColumn("id", F.xxhash64("line"))
-
-
-def compared(line: Column, least: int) -> Column:
-    return (F.length(line) >= least) & line.rlike(r"[^\x20\x09-\x0D]")
+    return out.select("*", F.col("line").rlike(r"[^\x20\x09-\x0D]").alias("compared"), line_hash(F.col("line")).alias("id"), F.xxhash64(F.lit("check"), F.col("line")).alias("check"))
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -59,112 +60,162 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+# Two bytes a character, or four where a line has characters beyond the first plane, so that a shingle is found without counting characters.
+# A shingle is hashed in two bytes a character either way.
+
+
+def _wide(line: Column) -> Column:
+    return F.octet_length(F.encode(line, "UTF-16BE")) > 2 * F.length(line)
+
+
+def _narrowed(shingle_bytes: Column) -> Column:
+    return F.encode(F.decode(shingle_bytes, "UTF-32"), "UTF-16BE")
+
+
 def at_places(line: Column, shingle: int) -> Column:
-    """The hashes of the shingles at all places; 4 bytes a character, so that a shingle is found without counting characters."""
-    begins = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (4 * shingle - 1), F.lit(1)), F.lit(4))
-    return bound(F.encode(line, "UTF-32"), lambda b: F.transform(begins(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * shingle)))))
+    """The different hashes of the line's shingles."""
+
+    def hashes(b: Column, unit: int, of: Callable[[Column], Column]) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (unit * shingle - 1), F.lit(1)), F.lit(unit))
+        return F.transform(begins, lambda i: F.xxhash64(of(F.substring(b, i, F.lit(unit * shingle)))))
+
+    narrow = bound(F.encode(line, "UTF-16BE"), lambda b: hashes(b, 2, lambda x: x))
+    wide = bound(F.encode(line, "UTF-32"), lambda b: hashes(b, 4, _narrowed))
+    return F.array_distinct(F.when(_wide(line), wide).otherwise(narrow))
 
 
-def shingles(line: Column, shingle: int, words: bool, ahead: int = AHEAD) -> dict[str, Column]:
-    """The hashes of the line's shingles by kind, ``at_words`` (with words) and ``at_places``, or null."""
-    places = at_places(line, shingle)
-    if not words:
-        return {"at_places": F.when(line.isNotNull(), places)}
-    parts = F.split(line, " ")
-    per = F.length(line) / F.size(parts)
-    at_words = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.xxhash64(a, F.substring(b, 1, ahead)))
-    return {"at_words": F.when(per <= DENSE, at_words), "at_places": F.when(per >= SPARSE, places)}
+def shingled(rows: DataFrame, keys: list[str], shingle: int) -> DataFrame:
+    """keys, places (the number of shingles) and h, a shingle's hash; one row per shingle, in generated code."""
+    encoded = rows.select(*keys, "line", F.length("line").alias("n"), F.encode("line", "UTF-16BE").alias("narrow"))
+    encoded = encoded.select(*keys, "n", "line", "narrow", (F.octet_length("narrow") > 2 * F.col("n")).alias("wide"))
+    places = F.greatest(F.col("n") - (shingle - 1), F.lit(1))
+    encoded = encoded.select(*keys, "wide", places.alias("places"), F.when(F.col("wide"), F.encode("line", "UTF-32")).otherwise(F.col("narrow")).alias("b"))
+    unit = F.when(F.col("wide"), 4).otherwise(2)
+    at = encoded.select(*keys, "b", "wide", "places", F.explode(F.sequence(F.lit(1), (F.col("places") - 1) * unit + 1, unit)).alias("i"))
+    piece = F.when(F.col("wide"), _narrowed(F.substring("b", F.col("i"), F.lit(4 * shingle)))).otherwise(F.substring("b", F.col("i"), F.lit(2 * shingle)))
+    return at.select(*keys, "places", F.xxhash64(piece).alias("h"))
 
 
-def banded(rows: DataFrame, hashes: str, bands: int, per_band: int, kind: int) -> DataFrame:
-    """rows with the band keys in place of the hashes."""
-    points = [-(1 << 63) + ((2 * j + 1) << 63) // bands for j in range(bands)]
-    fixed = F.array(*[F.lit(p) for p in points])
-    rest = [c for c in rows.columns if c != hashes]
-    marked = rows.withColumn("_m", F.sort_array(F.array_distinct(F.concat(F.col(hashes), fixed)))).withColumn("_h", F.array_except("_m", fixed))
-    circle = marked.withColumn("_c", F.concat("_h", "_h"))
-    # before point j of the marked array there are j other points, so its place less j is where the next hash stands without points
-    after = lambda j, p: F.slice("_c", (F.array_position("_m", F.lit(p)) - j).cast("int"), F.lit(per_band))
-    keys = F.array(*[F.xxhash64(after(j, p), F.lit(j), F.lit(kind)) for j, p in enumerate(points)])
-    return circle.select(*rest, F.when(F.col(hashes).isNotNull(), keys).alias(hashes))
+def minima(rows: DataFrame, keys: list[str], bins: int, shingle: int) -> DataFrame:
+    """keys and m0, m1 and so on, the least hashes in the bins or null, of the lines that are compared; one row per line."""
+    limit = F.lit(float((1 << 32) * DEPTH * bins)) / F.col("places")
+    bin_of = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * bins, 32)
+    dealt = shingled(rows.filter("compared"), keys, shingle).select(*keys, "places", bin_of.alias("bin"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
+    return dealt.filter(F.col("v") < limit).groupBy(*keys).agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(bins)])
 
 
-def _enough(common: Column, a: Column, b: Column, similarity: float) -> Column:
-    return F.coalesce((common > 0) & (common >= similarity * (F.size(a) + F.size(b) - common)), F.lit(False))
+def sketched(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, places and s0, s1 and so on, the bitmap of the line's shingles dealt to 64 * WORDS slots."""
+    slots = shingled(texts, ["id"], shingle).select("id", "places", F.pmod("h", F.lit(64 * WORDS)).cast("int").alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)))
+    return slots.groupBy("id", "places").agg(*[F.bit_or(F.when(F.shiftright("slot", 6) == w, bit)).alias(f"s{w}") for w in range(WORDS)]).na.fill(0)
 
 
-def similar(lines_: DataFrame, shingle: int, similarity: float, words: bool) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs (a, b) of ids whose lines' exact Jaccard similarity, of either kind, is high enough."""
+def may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
+    """False only where the similarity is too low for certain: the slots in which two sketches differ are at most the shingles in
+    which the lines differ, and those may be (1 - t) / (1 + t) of both lines' shingles together."""
+    differing = sum((F.bit_count(x(f"s{w}").bitwiseXOR(y(f"s{w}"))) for w in range(1, WORDS)), F.bit_count(x("s0").bitwiseXOR(y("s0"))))
+    return differing <= (1 - similarity) / (1 + similarity) * (x("places") + y("places")) + 1e-6
 
-    def sets(line: str) -> Column:
-        return F.struct(*[F.array_distinct(h).alias(c) for c, h in shingles(F.col(line), shingle, words).items()])
 
-    def near(p: Column) -> Column:
-        kinds = ["at_words", "at_places"] if words else ["at_places"]
-        return reduce(or_, [_enough(F.size(F.array_intersect(p["x"][c], p["y"][c])), p["x"][c], p["y"][c], similarity) for c in kinds])
+def banded(least: DataFrame, keys: list[str], bands: int, per_band: int) -> DataFrame:
+    """keys and bands, the band keys, of the minima."""
+    m = [F.col(f"m{j}") for j in range(bands * per_band)]
+    whole = F.lit(True)
+    for x in m:
+        whole = whole & x.isNotNull()
+
+    def sparse(j: int) -> Column:  # hashes to the same key as the columns themselves where none is empty
+        circle = m[j * per_band :] + m[: j * per_band]
+        return F.xxhash64(F.slice(F.filter(F.array(*circle), lambda x: x.isNotNull()), 1, per_band), F.lit(j))
+
+    dense = F.array(*[F.xxhash64(*m[j * per_band : (j + 1) * per_band], F.lit(j)) for j in range(bands)])
+    return least.select(*keys, F.when(whole, dense).otherwise(F.array(*[sparse(j) for j in range(bands)])).alias("bands"))
+
+
+def apart(signed: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Gives lines that share their first hash ids of their own: a function of rows with id and check, which drops check.
+
+    The ids concerned are few, 270 of 10**11 lines, and are broadcast; more than MOST_COLLISIONS of them is an error.
+    """
+    doubled = save(signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_doubled")), "line-collisions")
+    n = doubled.count()
+    if n > MOST_COLLISIONS:
+        raise ValueError(f"{n} hashes stand for several lines each")
+
+    def told(rows: DataFrame) -> DataFrame:
+        if not n:
+            return rows.drop("check")
+        own = F.when(F.col("_doubled").isNotNull(), F.xxhash64("id", "check")).otherwise(F.col("id"))
+        return rows.join(F.broadcast(doubled), F.col("id") == F.col("_doubled"), "left").withColumn("id", own).drop("check", "_doubled")
+
+    return told
+
+
+def _alike(common: Column, a: Column, b: Column, similarity: float) -> Column:
+    return common >= similarity * (a + b - common)
+
+
+def similar(items: DataFrame, shingle: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (a, b) of ids whose lines' exact Jaccard similarity is high enough."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = lines_.select(F.col("id").alias("a"), F.col("line").alias("la"))
-        b = lines_.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-        return pairs.join(a, "a").join(b, "b").filter(F.exists(F.array(F.struct(sets("la").alias("x"), sets("lb").alias("y"))), near)).select("a", "b")
+        side = lambda c: items.select(F.col("id").alias(c), F.struct(*[x for x in items.columns if x != "id"]).alias(f"i{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be_alike(lambda c: F.col(f"ia.{c}"), lambda c: F.col(f"ib.{c}"), similarity))
+        sets = both.select("a", "b", at_places(F.col("ia.line"), shingle).alias("x"), at_places(F.col("ib.line"), shingle).alias("y"))
+        # a generator, so that the filter on the counts isn't pushed below them, where the sets would be made anew for each use
+        counts = F.struct("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("nx"), F.size("y").alias("ny"))
+        return sets.select(F.inline(F.array(counts))).filter(_alike(F.col("common"), F.col("nx"), F.col("ny"), similarity)).select("a", "b")
 
     return verify
 
 
-def linked_blocks(met: DataFrame, shingle: int, similarity: float, words: bool) -> DataFrame:
-    """The links (a, b) between the lines of two blocks that lie in different components."""
+def linked_blocks(met: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) between the lines of two blocks that lie in different components and share no earlier bucket."""
+    kept = ["comp", "id", "earlier", "places", *[f"s{w}" for w in range(WORDS)]]
 
     def item(x: Column) -> Column:
-        def kind(h: Column) -> Column:
-            n = F.size(h)
-            return F.struct(h.alias("all"), F.slice(h, F.lit(1), (n - F.ceil(similarity * n) + 1).cast("int")).alias("prefix"))
-
-        sets = [bound(F.sort_array(F.array_distinct(h)), kind).alias(c) for c, h in shingles(x["line"], shingle, words).items()]
-        return F.struct(x["comp"].alias("comp"), x["id"].alias("id"), *sets)
+        return F.struct(*[x[c].alias(c) for c in kept], at_places(x["line"], shingle).alias("set"))
 
     def near(x: Column, y: Column) -> Column:
-        def kind(p: Column, q: Column) -> Column:
-            sizes = (F.size(p["all"]) >= similarity * F.size(q["all"])) & (F.size(q["all"]) >= similarity * F.size(p["all"]))
-            common = F.size(F.array_intersect(p["all"], q["all"]))
-            return F.coalesce(sizes & F.arrays_overlap(p["prefix"], q["prefix"]) & _enough(common, p["all"], q["all"], similarity), F.lit(False))
-
-        kinds = ["at_words", "at_places"] if words else ["at_places"]
-        return (x["comp"] != y["comp"]) & reduce(or_, [kind(x[c], y[c]) for c in kinds])
+        first = (x["comp"] != y["comp"]) & ~F.arrays_overlap(x["earlier"], y["earlier"])
+        exact = _alike(F.size(F.array_intersect(x["set"], y["set"])), F.size(x["set"]), F.size(y["set"]), similarity)
+        return first & may_be_alike(lambda c: x[c], lambda c: y[c], similarity) & exact
 
     def links(m: Column) -> Column:
-        of = lambda x: F.transform(F.filter(m["right"], lambda y: near(x, y)), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
-        return F.flatten(F.transform(m["left"], of))
+        pair = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
+        return F.flatten(F.transform(m["left"], lambda x: F.transform(F.filter(m["right"], lambda y: near(x, y)), lambda y: pair(x, y))))
 
     sides = F.struct(F.transform("left", item).alias("left"), F.transform("right", item).alias("right"))
     return met.select(F.explode(bound(sides, links)).alias("l")).select("l.a", "l.b")
 
 
-def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, least: int = SHINGLE, words: bool = True) -> DataFrame:
+def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per line: doc_id, doc_hash, line_no, line_hash, class_hash (its component's least line hash) and kept."""
-    all_lines = lines(docs).withColumn("compared", compared(F.col("line"), least))
-    masked = F.when(F.col("compared"), F.col("line"))
-    signed = all_lines.select("doc_id", "doc_hash", "line_no", "id", "compared", *[h.alias(c) for c, h in shingles(masked, shingle, words).items()])
-    kinds = [c for c in ("at_words", "at_places") if c in signed.columns]
-    for c in kinds:
-        signed = banded(signed, c, bands, rows, int(c == "at_places"))
-    keys = F.concat(*[F.coalesce(c, F.array()) for c in kinds]).alias("bands")
-    places = save(signed.select("doc_id", "doc_hash", "line_no", "id", "compared", keys), "line-signatures")
-    members = places.select(F.explode("bands").alias("key"), "id")
+    all_lines = lines(docs)
+    keys = ["id", "check"]
+    signed = save(banded(minima(all_lines, keys, bands * rows, shingle), keys, bands, rows), "line-signatures")
+    told = apart(signed)
+    found: list[DataFrame] = []
 
     def tools(ids: DataFrame) -> Tools:
         ids = save(ids, "line-candidates")
-        asked = might_contain(all_lines.filter("compared").select("id", "line"), "id", ids)
-        asked = save(asked.join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
-        return asked, similar(asked, shingle, similarity, words), lambda met: linked_blocks(met, shingle, similarity, words)
-
-    comps = link(members, tools)
-    classed = places.drop("bands").join(comps, "id", "left").withColumn("class_hash", F.coalesce("comp", "id")).drop("comp")
-    classed = save(classed.withColumn("k", F.col("class_hash").cast("string")), "line-classes")
+        # one more pass over the texts makes both the places of all lines and the texts of those that may be candidates
+        marked = may_contain(told(all_lines), "id", ids, "_asked")
+        places = save(marked.withColumn("line", F.when(F.col("_asked") & F.col("compared"), F.col("line"))).drop("_asked"), "line-places")
+        found.append(places.drop("line"))
+        texts = save(places.filter("line is not null").select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+        items = save(texts.join(sketched(texts, shingle), "id"), "line-items")
+        return items, similar(items, shingle, similarity), lambda met: linked_blocks(met, shingle, similarity)
+
+    comps = link(told(signed).select(F.explode("bands").alias("key"), "id"), tools)
+    places = found[0]
+    classed = save(places.join(comps, "id", "left").withColumn("class_hash", F.coalesce("comp", "id")).drop("comp"), "line-classes")
     first = F.min(F.struct("doc_id", "doc_hash", "line_no")).alias("first")
-    groups = save(classed.filter("compared").groupBy("k").agg(first, F.count("*").alias("n")).filter("n > 1"), "line-groups")
-    out = join_groups(classed, groups, "k", "n")
+    groups = classed.filter("compared").groupBy("class_hash").agg(first, F.count("*").alias("n")).filter("n > 1").select("class_hash", "first")
     own = F.struct("doc_id", "doc_hash", "line_no")
     kept = ~F.col("compared") | F.col("first").isNull() | own.eqNullSafe(F.col("first"))
+    out = classed.join(save(groups, "line-groups"), "class_hash", "left")
     return out.select("doc_id", "doc_hash", "line_no", F.col("id").alias("line_hash"), "class_hash", kept.alias("kept"))
 
 

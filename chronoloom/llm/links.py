@@ -55,33 +55,37 @@ Tools = tuple[DataFrame, Callable[[DataFrame], DataFrame], Callable[[DataFrame],
 
 
 def link(members: DataFrame, tools: Callable[[DataFrame], Tools], block: int = 96) -> DataFrame:
-    """(id, comp) of the ids that have a verified link, from the buckets' members (key, id).
+    """(id, comp) of the ids that have a verified link, from the buckets' members (key, id), no row twice.
 
     First every member is held against its bucket's most central member, the one whose buckets are the largest: in a group of
-    copies that is the original or close to it, and most of the group is then one component. What a bucket holds outside of
-    its largest component is then compared with all of the bucket, in blocks of about ``block`` members against blocks of as
-    many: no row is made for a pair, and no task sees a whole bucket. So every pair of a bucket is in one component or has been
-    compared.
+    copies that is the original or close to it, and most of the group is then one component. What a bucket's other members hold
+    outside of their largest component is then compared with all of them, in blocks of about ``block`` members against blocks of
+    as many: no row is made for a pair, and no task sees a whole bucket. So every pair of a bucket is in one component or has
+    been compared.
 
     tools(ids) gives, for all ids that can occur, a table of items (id and what comparing needs), the verifier of pairs and
-    the comparer of rows with the arrays ``left`` and ``right`` of items and their components.
+    the comparer of rows with the arrays ``left`` and ``right`` of items, their components and their ``earlier`` buckets: two items that
+    share one of those are compared there.
     """
-    ends = save(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n"), "buckets")
-    active = save(might_contain(members, "key", ends.select("key")).join(ends, "key").distinct(), "bucket-members")
+    ends = save(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    active = save(might_contain(members, "key", ends.select("key")).join(ends, "key"), "bucket-members")
     items, verify, compare = tools(active.select("id").distinct())
     central = active.groupBy("id").agg(F.sum(F.log2("n")).alias("score"))
     leaders = active.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("score", "id")).alias("l")).select("key", F.col("l.id").alias("leader"))
-    first = active.select("key", "id").join(leaders, "key").filter("id != leader")
-    links = save(verify(first.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()), "links")
+    rest = save(active.select("key", "id").join(leaders, "key").filter("id != leader"), "bucket-rests")
+    links = save(verify(rest.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()), "links")
     comps = save(components(links), "components")
 
-    m = save(active.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "bucket-components")
+    # the leaders have met everyone; what is left to compare is the others with each other
+    buckets = active.groupBy("id").agg(F.collect_list("key").alias("keys"))  # as many as there are bands
+    m = rest.select("key", "id").join(comps, "id", "left").join(buckets, "id")
+    m = save(m.select("key", "id", F.coalesce("comp", "id").alias("comp"), F.filter("keys", lambda k: k < F.col("key")).alias("earlier")), "bucket-components")
     per = m.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n"))
     open_ = save(per.filter("most.c < n").select("key", F.col("most.comp").alias("main"), F.ceil(F.col("n") / block).alias("nr"), F.ceil((F.col("n") - F.col("most.c")) / block).alias("nl")), "open-buckets")
     inside = m.join(open_, "key")
     right = inside.withColumn("r", F.pmod(F.xxhash64("id", "key"), F.col("nr")))
     left = inside.filter("comp != main").withColumn("l", F.pmod(F.xxhash64("key", "id"), F.col("nl")))
-    gathered = lambda d, no, name: d.select("key", no, "id", "comp").join(items, "id").groupBy("key", no).agg(F.collect_list(F.struct("comp", *items.columns)).alias(name))
+    gathered = lambda d, no, name: d.select("key", no, "id", "comp", "earlier").join(items, "id").groupBy("key", no).agg(F.collect_list(F.struct("comp", "earlier", *items.columns)).alias(name))
     blocks = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), "nr").select("key", "l", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
     met = blocks.join(gathered(left, "l", "left"), ["key", "l"]).join(gathered(right, "r", "right"), ["key", "r"])
     more = save(compare(met).distinct(), "links")

@@ -224,10 +224,13 @@ class Weighted:
         return both / (a[2] + b[2] - both)
 
     def links(self, left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
-        """The linked pairs of different components between two blocks of (comp, id, text)."""
+        """The linked pairs between two blocks of (comp, earlier, id, text) that lie in different components and share no earlier bucket."""
         if len(left) * len(right) <= 16:
-            return [(min(i, j), max(i, j)) for c, i, x in left for d, j, y in right if c != d and self.jaccard(self.get(i, x), self.get(j, y)) >= self.o.similarity]
-        a, b = [self.get(i, x) for _, i, x in left], [self.get(j, y) for _, j, y in right]
+            return [
+                (min(i, j), max(i, j)) for c, e, i, x in left for d, f, j, y in right
+                if c != d and e.isdisjoint(f) and self.jaccard(self.get(i, x), self.get(j, y)) >= self.o.similarity
+            ]
+        a, b = [self.get(i, x) for *_, i, x in left], [self.get(j, y) for *_, j, y in right]
         # only elements of both sides can add to an intersection
         common = np.intersect1d(np.unique(np.concatenate([x[0] for x in a])), np.unique(np.concatenate([x[0] for x in b])), assume_unique=True)
         if not len(common):
@@ -244,8 +247,9 @@ class Weighted:
 
         both = matrix(a, True) @ matrix(b, False).T
         total = np.array([x[2] for x in a])[:, None] + np.array([x[2] for x in b])
-        apart = np.array([c for c, _, _ in left])[:, None] != np.array([c for c, _, _ in right])
-        return [(min(left[r][1], right[k][1]), max(left[r][1], right[k][1])) for r, k in zip(*np.nonzero(apart & (both >= self.o.similarity * (total - both))), strict=True)]
+        apart = np.array([x[0] for x in left])[:, None] != np.array([x[0] for x in right])
+        found = zip(*np.nonzero(apart & (both >= self.o.similarity * (total - both))), strict=True)
+        return [(min(left[r][2], right[k][2]), max(left[r][2], right[k][2])) for r, k in found if left[r][1].isdisjoint(right[k][1])]
 
 
 def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
@@ -282,7 +286,7 @@ def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
             sets = Weighted(weights.value, o)
             for batch in batches:
                 for k in range(batch.num_rows):
-                    sides = [[(e["comp"], e["id"], e["text"]) for e in batch.column(side)[k].as_py()] for side in ("left", "right")]
+                    sides = [[(e["comp"], frozenset(e["earlier"]), e["id"], e["text"]) for e in batch.column(side)[k].as_py()] for side in ("left", "right")]
                     if found := sets.links(*sides):
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 

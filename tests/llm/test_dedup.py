@@ -132,26 +132,22 @@ def test_shingles_are_word_runs():
     assert len(near_dedup.shingled("one two", 5)[0]) == 1 and len(near_dedup.shingled(None, 5)[0]) == 0
 
 
-def line_sets(x, shingle=8, ahead=3):
-    w = x.split(" ")
-    per = len(x) / len(w)
-    words = {(a, None if b is None else b[:ahead]) for a, b in zip(w, [*w[1:], None], strict=True)} if per <= 32 else None
-    places = {x[i : i + shingle] for i in range(len(x) - shingle + 1)} if per >= 20 else None
-    return words, places
+def character_sets(x, n=8):
+    return {x[i : i + n] for i in range(max(1, len(x) - n + 1))}
 
 
 def line_brute(rows):
-    """The kept places of each document, and the classes of lines."""
+    """The kept places of each document, and the classes of lines: every line with a word, all its character shingles."""
     seen = {}
     for r in rows:
         for i, x in enumerate((r.text or "").split("\n")):
-            if len(x) >= 8 and x.strip(" \t\n\v\f\r"):
+            if x.strip(" \t\n\v\f\r"):
                 seen.setdefault(x, []).append((r.doc_id, i, r.text))
-    s, sets = Sets(), {x: line_sets(x) for x in seen}
+    s, sets = Sets(), {x: character_sets(x) for x in seen}
     for a, b in combinations(seen, 2):
-        for p, q in zip(sets[a], sets[b], strict=True):
-            if p and q and len(p & q) >= 0.8 * len(p | q):
-                s.join(a, b)
+        p, q = sets[a], sets[b]
+        if 4 * len(q) <= 5 * len(p) and 4 * len(p) <= 5 * len(q) and 5 * len(p & q) >= 4 * len(p | q):
+            s.join(a, b)
     return seen, s
 
 
@@ -184,7 +180,7 @@ def test_lines(spark, corpus, odd, nothing):
     untouched = {r.doc_id: r.text for r in rows}
     for r in out.collect():
         if r.doc_id == 5101:
-            assert r.text == untouched[5101]
+            assert r.text == "short" and untouched[5101] == "short\nshort"
     assert line_dedup.line_classes(nothing).count() == 0 and line_dedup.dedup_lines(nothing).count() == 0
     assert line_dedup.dedup_lines(odd).count() == odd.count()
 
@@ -231,6 +227,56 @@ def test_short_lines(spark, tmp_path):
     assert out == {1: "Les.\n\na", 2: " \nLes!", 3: "\n "}
 
 
+def test_recall_of_edited_lines(spark):
+    """Of edited lines whose similarity is still 0.8 or more, pair by pair without chains, at least 95 % are found."""
+    import random
+
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 400:
+        x = prose(rng, rng.choice([4, 8, 15, 30, 60])).replace("\n", " ") + f" {len(pairs)}"
+        i = rng.randrange(len(x))
+        kind = rng.randrange(4)
+        if kind == 0:
+            y = x[:i] + "Q" + x[i + 1 :]
+        elif kind == 1:
+            y = edited(rng, x, 1 + len(x) // 200)
+        elif kind == 2:
+            y = f"{x} {prose(rng, 1 + len(x) // 40)}".replace("\n", " ")
+        else:
+            y = x[:i] + x[i + 1 + len(x) // 50 :]
+        p, q = character_sets(x), character_sets(y)
+        if x != y and 5 * len(p & q) >= 4 * len(p | q):
+            pairs.append((x, y))
+    docs = frame(spark, [(2 * i + k, t, "s") for i, pair in enumerate(pairs) for k, t in enumerate(pair)])
+    got = {r.doc_id: r.class_hash for r in line_dedup.line_classes(docs).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) >= 0.95 * len(pairs)
+
+
+def test_lines_with_one_hash_are_told_apart(spark, corpus, monkeypatch):
+    """With a first hash of 50 values only, the second one keeps lines apart."""
+    from pyspark.sql import functions as F
+
+    docs = corpus.filter("doc_id >= 100 and doc_id < 200")
+    want = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_classes(docs).collect()}
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: F.pmod(F.xxhash64(line), F.lit(50)))
+    assert {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_classes(docs).collect()} == want
+    monkeypatch.setattr(line_dedup, "MOST_COLLISIONS", 10)
+    with pytest.raises(ValueError, match="hashes stand for"):
+        line_dedup.line_classes(docs)
+
+
+def test_very_long_line(spark):
+    """Lines of a megabyte, one of them with characters beyond the first plane."""
+    import random
+
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefghij klmnop") for _ in range(1_000_000))
+    docs = frame(spark, [(1, text, "s"), (2, text[:500_000] + "X" + text[500_000:], "s"), (3, text[::-1], "s"), (4, text[:250_000] + "\U0001d4b3" + text[250_001:], "s")])
+    got = {r.doc_id: (r.class_hash, r.kept) for r in line_dedup.line_classes(docs).collect()}
+    assert got[1][0] == got[2][0] == got[4][0] != got[3][0] and [got[i][1] for i in (1, 2, 3, 4)] == [True, False, True, False]
+
+
 def test_no_pairs_of_a_large_group(spark):
     """Near copies of one text, and copies too far from it: rows grow with the group, not with its square, and no link is lost."""
     import random
