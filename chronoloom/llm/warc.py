@@ -8,8 +8,10 @@ manifest is written once all tasks have ended.
 The reader checks every record: the gzip member, the version line, the header, the lengths, the end of the record and its block
 digest. After a failed check it searches for the next gzip member that begins with a version line (or, in an archive without
 compression, the next version line) from which a whole record can be read, goes on there, and reports the bytes between
-as a quarantined gap with the reason. In a whole gzip member of several records only the damaged part is lost: its gap is the member's
-place, and the reason names the bytes of the content.
+as a quarantined gap with the reason. Of a gzip member of several records only the damaged part is lost, and of one that is cut or breaks
+off all that comes before is kept: the gap is the member's place (up to the next readable one, if it breaks off), and the reason names the
+bytes of its content. Archives are read as a stream: a task holds one record and a window of the file, and a record that claims more
+than ``most`` bytes is quarantined.
 
 Defined results: null html counts as an empty payload. Rows that share both the payload and its largest page_id are
 responses all. Pages without an id can't be referred to: among equal payloads without any id, all are responses. An
@@ -55,13 +57,21 @@ def record(page_id: int | None, uri: str | None, payload: bytes, digest: str, re
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The header, the block and the end of the record at a place; ValueError with the reason if a check fails."""
-    if not (m := VERSION.match(data, at)):
+class Incomplete(ValueError):
+    """The bytes end before the record does; ``needed`` of them are known to be necessary."""
+
+    def __init__(self, why: str, needed: int = 0):
+        super().__init__(why)
+        self.needed = needed
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
+    """The header, the block and the length of the record that begins the bytes; ValueError with the reason if a check fails."""
+    if not (m := VERSION.match(data)):
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
-        raise ValueError("the header doesn't end")
+        raise Incomplete("the header doesn't end")
     header = {}
     for line in data[m.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -74,101 +84,190 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if not (size := header.get("content-length", "")).isdigit():
         raise ValueError("no content length")
     start, stop = end + 4, end + 4 + int(size)
-    block = data[start:stop]
-    if len(block) < int(size) or data[stop : stop + 4] != b"\r\n\r\n":
+    if len(data) < stop + 4:
+        raise Incomplete("the record doesn't end where its length says", stop + 4)
+    if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("the record doesn't end where its length says")
+    block = data[start:stop]
     wanted = header.get("warc-block-digest", "")
     if wanted.startswith("sha1:") and wanted[5:] != sha1(block):
         raise ValueError("the block digest differs")
     return header, block, stop + 4
 
 
-def member(data: bytes, at: int, chunk: int = 1 << 16, peek: bool = False) -> tuple[bytes, int]:
-    """The content and the end of the gzip member at a place; with peek only whether it begins with a version line."""
-    d, out, pos = zlib.decompressobj(31), [], at
-    while not d.eof:
-        if pos >= len(data):
-            raise ValueError("the member doesn't end")
+class Archive:
+    """Bytes of a file by place, through one window of it."""
+
+    WINDOW = 1 << 20
+
+    def __init__(self, file):
+        self.file, self.size, self.at, self.held = file, file.size(), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        if not (self.at <= at and at + n <= self.at + len(self.held)):
+            if n > self.WINDOW // 2:
+                return self.file.read_at(max(0, min(n, self.size - at)), at)
+            self.at, self.held = at, self.file.read_at(max(0, min(self.WINDOW, self.size - at)), at)
+        return self.held[at - self.at : at - self.at + n]
+
+    def drop(self, at: int) -> None:
+        """Nothing before ``at`` is asked for again."""
+
+
+class Member:
+    """The content of the gzip member at a place, unpacked as it is asked for; what was dropped isn't held."""
+
+    def __init__(self, archive: Archive, at: int, chunk: int = 1 << 14):
+        self.archive, self.pos, self.chunk = archive, at, chunk
+        self.packer, self.held, self.before = zlib.decompressobj(31), bytearray(), 0
+        self.end: int | None = None
+        self.failure: str | None = None
+
+    def get(self, at: int, n: int) -> bytes:
+        while self.before + len(self.held) < at + n and self.end is None and self.failure is None:
+            self._more()
+        return bytes(self.held[at - self.before : at - self.before + n])
+
+    def _more(self) -> None:
+        data = self.archive.get(self.pos, self.chunk)
+        if not data:
+            self.failure = "the member doesn't end"
+            return
+        # byte by byte where a chunk fails, so that all is kept that comes before the fault
         try:
-            out.append(d.decompress(data[pos : pos + (64 if peek else chunk)]))
+            before = self.packer.copy()
+            self.held += self.packer.decompress(data)
         except zlib.error as e:
-            raise ValueError(f"bad member: {e}") from None
-        pos += 64 if peek else chunk
-        if peek and len(b := b"".join(out)) >= 10:
-            if not VERSION.match(b):
-                raise ValueError("no version line")
-            return b, at
-    return b"".join(out), min(pos, len(data)) - len(d.unused_data)
-
-
-def salvage(data: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """(offset, header, block) of every record that passes the checks, and (start, end, reason) of the quarantined gaps."""
-    records, gaps, at, bad = [], [], 0, None  # bad: the start and reason of an open gap
-    while at < len(data):
-        packed = data.startswith(MAGIC, at)
+            self.failure = f"bad member: {e}"
+            try:
+                for k in range(len(data)):
+                    self.held += before.decompress(data[k : k + 1])
+            except zlib.error:
+                return
+        self.pos += len(data)
+        if self.packer.eof:
+            self.end = self.pos - len(self.packer.unused_data)
+
+    def drop(self, at: int) -> None:
+        del self.held[: at - self.before]
+        self.before = max(self.before, at)
+
+    @property
+    def length(self) -> int:
+        return self.before + len(self.held)
+
+
+def one(source: Archive | Member, at: int, most: int) -> tuple[dict[str, str], bytes, int]:
+    """The header, the block and the end of the record at a place of an archive or a member."""
+    n = 1 << 13
+    while True:
+        data = source.get(at, n)
         try:
-            if packed:
-                raw, end = member(data, at)
-                inside, lost = _unpacked(raw)
-                if lost and not inside:
-                    raise ValueError(lost[0][2])
-                got = [(at, header, block) for header, block in inside]
-                parts = [(at, end, f"{why} (bytes {a} to {b} of the member's content)") for a, b, why in lost]
-            else:
-                header, block, end = parse(data, at)
-                got, parts = [(at, header, block)], []
-        except ValueError as e:
-            bad = bad or (at, str(e))
-            at = _next(data, at + 1)
-            continue
-        if bad:
-            gaps.append((bad[0], at, bad[1]))
-            bad = None
-        records += got
-        gaps += parts
-        at = end
-    if bad:
-        gaps.append((bad[0], len(data), bad[1]))
-    return records, gaps
+            header, block, length = parse(data)
+            return header, block, at + length
+        except Incomplete as e:
+            if len(data) < n:
+                raise
+            if max(n, e.needed) >= most:
+                raise ValueError(f"the record is longer than {most} bytes") from None
+            n = max(2 * n, e.needed)
+
+
+def search(source: Archive | Member, at: int, pattern: re.Pattern = VERSION, window: int = 1 << 16, overlap: int = 16) -> int | None:
+    """The first place from ``at`` on where the pattern matches."""
+    while True:
+        data = source.get(at, window)
+        if m := pattern.search(data):
+            return at + m.start()
+        if len(data) < window:
+            return None
+        at += window - overlap
+        source.drop(at)
+
 
+#: What a record in an archive begins with, packed or not.
+BEGINS = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
 
-def _unpacked(raw: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """The records of a member's content, and what lies between them that fails the checks: start, end and reason."""
-    got, lost, pos, bad = [], [], 0, None
-    while pos < len(raw):
+
+def following(archive: Archive, at: int) -> int:
+    """The next place of a member that begins with a version line, or of a version line."""
+    while (found := search(archive, at, BEGINS)) is not None:
+        if archive.get(found, 3) != MAGIC or VERSION.match(Member(archive, found, 64).get(0, 10)):
+            return found
+        at = found + 1
+    return archive.size
+
+
+def inside(member: Member, most: int) -> Iterator[tuple]:
+    """("record", header, block), and ("lost", start, end, reason) for bytes of the content that fail the checks."""
+    pos, hole = 0, None
+    while member.get(pos, 1):
+        try:
+            header, block, end = one(member, pos, most)
+        except ValueError as e:
+            hole = hole or (pos, str(e))
+            if (next_ := search(member, pos + 1)) is None:
+                break
+            pos = next_
+            continue
+        if hole:
+            yield "lost", hole[0], pos, hole[1]
+            hole = None
+        yield "record", header, block
+        pos = end
+        member.drop(pos)
+    if hole:
+        yield "lost", hole[0], member.length, hole[1]
+
+
+def scan(archive: Archive, most: int = 1 << 30) -> Iterator[tuple]:
+    """("record", offset, header, block) of every record that passes the checks, ("gap", start, end, reason) of the quarantined bytes."""
+    at, bad = 0, None  # bad: the start and reason of an open gap
+    while at < archive.size:
+        if archive.get(at, 3) == MAGIC:
+            member, got, lost = Member(archive, at), False, []
+            for kind, *what in inside(member, most):
+                if kind == "lost":
+                    lost.append(what)
+                    continue
+                if bad:
+                    yield "gap", bad[0], at, bad[1]
+                    bad = None
+                got = True
+                yield "record", at, *what
+            end = member.end if member.failure is None else following(archive, at + 1)
+            if got or not lost and not member.failure:
+                if member.failure and (not lost or lost[-1][1] < member.length):
+                    lost.append((member.length, member.length, member.failure))
+                for a, b, why in lost:
+                    whole = f"{member.failure}; {why}" if member.failure and why != member.failure and b == member.length else why
+                    yield "gap", at, end, f"{whole} (bytes {a} to {b} of the member's content)"
+                at = end
+                continue
+            bad = bad or (at, member.failure or lost[0][2])
+            at = following(archive, at + 1)
+            continue
         try:
-            header, block, end = parse(raw, pos)
+            header, block, end = one(archive, at, most)
         except ValueError as e:
-            bad = bad or (pos, str(e))
-            pos = m.start() if (m := VERSION.search(raw, pos + 1)) else len(raw)
+            bad = bad or (at, str(e))
+            at = following(archive, at + 1)
             continue
         if bad:
-            lost.append((bad[0], pos, bad[1]))
+            yield "gap", bad[0], at, bad[1]
             bad = None
-        got.append((header, block))
-        pos = end
+        yield "record", at, header, block
+        at = end
     if bad:
-        lost.append((bad[0], len(raw), bad[1]))
-    return got, lost
+        yield "gap", bad[0], archive.size, bad[1]
 
 
-def _next(data: bytes, at: int) -> int:
-    """The next place that looks like a member that begins with a version line, or like a version line."""
-    while True:
-        gz, plain = data.find(MAGIC, at), data.find(b"WARC/", at)
-        found = [x for x in (gz, plain) if x >= 0]
-        if not found:
-            return len(data)
-        at = min(found)
-        if at == gz:
-            try:
-                member(data, at, peek=True)
-                return at
-            except ValueError:
-                pass
-        elif VERSION.match(data, at):
-            return at
-        at += 1
+def salvage(data: bytes, most: int = 1 << 30) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The records (offset, header, block) and the gaps (start, end, reason) of an archive held in memory."""
+    import pyarrow as pa
+
+    found = list(scan(Archive(pa.BufferReader(data)), most))
+    return [tuple(x[1:]) for x in found if x[0] == "record"], [tuple(x[1:]) for x in found if x[0] == "gap"]
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
@@ -220,10 +319,24 @@ RECORDS = (
 )
 
 
-def read(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
+def read(manifest: DataFrame, with_payload: bool = True, most: int = 1 << 30) -> DataFrame:
     """What the archives hold: rows of kind ``record``, and of kind ``gap`` for the bytes that were quarantined."""
     tasks = max(1, 4 * manifest.sparkSession.sparkContext.defaultParallelism)
 
+    def row(path: str, x: tuple) -> tuple:
+        if x[0] == "gap":
+            return ("gap", path, *x[1:], *[None] * 7)
+        _, at, header, block = x
+        head, _, payload = block.partition(b"\r\n\r\n")
+        kind = header.get("warc-type", "")
+        digest = header.get("warc-payload-digest", "").removeprefix("sha1:")
+        length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+        full = int(length[1]) if kind == "revisit" and length else len(payload)
+        return (
+            "record", path, at, None, None, _page(header.get("warc-record-id")), header.get("warc-target-uri"), kind, _page(header.get("warc-refers-to")),
+            full, digest if kind == "revisit" else sha1(payload), payload if with_payload else None,
+        )
+
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
@@ -231,22 +344,14 @@ def read(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         for pdf in batches:
             for path in pdf["path"]:
                 store, base = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(base, compression=None) as f:
-                    records, gaps = salvage(f.read())
-                rows: list[tuple] = [("gap", path, s, e, why, *[None] * 7) for s, e, why in gaps]
-                for at, header, block in records:
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    kind = header.get("warc-type", "")
-                    digest = header.get("warc-payload-digest", "").removeprefix("sha1:")
-                    length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-                    full = int(length[1]) if kind == "revisit" and length else len(payload)
-                    rows.append((
-                        "record", path, at, None, None, _page(header.get("warc-record-id")), header.get("warc-target-uri"), kind, _page(header.get("warc-refers-to")),
-                        full, digest if kind == "revisit" else sha1(payload), payload if with_payload else None,
-                    ))
-                    if len(rows) >= 1000:
-                        yield _frame(rows, names)
-                        rows = []
+                rows, held = [], 0
+                with store.open_input_file(base) as f:
+                    for x in scan(Archive(f), most):
+                        rows.append(row(path, x))
+                        held += len(rows[-1][-1] or b"")
+                        if len(rows) >= 1000 or held >= 16 << 20:
+                            yield _frame(rows, names)
+                            rows, held = [], 0
                 if rows:
                     yield _frame(rows, names)
 

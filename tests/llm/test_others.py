@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,6 +95,30 @@ def test_differencing(weights, parts):
     assert len(got) == len(weights) and all(0 <= p < parts for p in got)
 
 
+def plain_differencing(weights, parts):
+    """Karmarkar-Karp on lists: the sums of the parts, in order."""
+    partial = [sorted([w] + [0] * (parts - 1)) for w in weights]
+    while len(partial) > 1:
+        partial.sort(key=lambda p: p[0] - p[-1])  # the largest spread first
+        a, b = partial.pop(0), partial.pop(0)
+        partial.append(sorted(x + y for x, y in zip(a, reversed(b), strict=True)))
+    return partial[0]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_differencing_is_karmarkar_karp(seed):
+    from chronoloom.llm import packing
+
+    rng = np.random.default_rng(seed)
+    weights, parts = rng.integers(1, 1 << 40, rng.integers(1, 60)), int(rng.integers(1, 9))
+    want = plain_differencing(weights.tolist(), parts)
+    for difference in (lambda: sharding.difference(weights.tolist(), parts), lambda: packing.difference(weights, parts)):
+        sums = [0] * parts
+        for w, p in zip(weights.tolist(), difference(), strict=True):
+            sums[p] += w
+        assert sorted(sums) == want
+
+
 def test_differencing_balances():
     assert sorted(np.bincount(sharding.difference([8, 7, 6, 5, 4], 2), [8, 7, 6, 5, 4])) == [14, 16]  # the textbook case
     w = np.random.default_rng(0).integers(1, 1000, 2000)
@@ -194,6 +219,48 @@ def test_salvage_inside_a_member(archive):
     assert gaps == [(len(packed[0]), len(packed[0]) + len(one), f"the block digest differs (bytes {start} to {start + len(bad)} of the member's content)")]
 
 
+def pack(*parts):
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return c.compress(b"".join(parts)) + c.flush()
+
+
+def page_ids(records):
+    return [warc._page(h["warc-record-id"]) for _, h, _ in records]
+
+
+def test_salvage_of_cut_members(archive):
+    """A member of ten records that is cut short, or breaks off in the middle, gives all whole records before the fault; one gap is logged."""
+    rng = np.random.default_rng(0)
+    bodies = [rng.integers(0, 256, 3000).astype(np.uint8).tobytes() for _ in range(10)]
+    plain = [warc.record(i, f"http://h/{i}", b, warc.sha1(b)) for i, b in enumerate(bodies)]
+    one, after = pack(*plain), pack(archive[0][11])
+    records, gaps = warc.salvage(one[:-40])
+    assert page_ids(records) == list(range(9)) and [g[:2] for g in gaps] == [(0, len(one) - 40)] and "doesn't end" in gaps[0][2]
+    assert f"bytes {sum(map(len, plain[:9]))} to " in gaps[0][2]
+    records, gaps = warc.salvage(one[: len(one) // 2] + after + after)
+    assert page_ids(records) == [0, 1, 2, 3, 11, 11] and [g[:2] for g in gaps] == [(0, len(one) // 2)]
+    damaged = bytearray(b"".join(plain))
+    damaged[sum(map(len, plain[:4])) + 1000] ^= 1
+    records, gaps = warc.salvage(pack(bytes(damaged)) + after)
+    assert page_ids(records) == [0, 1, 2, 3, 5, 6, 7, 8, 9, 11] and len(gaps) == 1
+
+
+def test_salvage_holds_one_record(archive):
+    """A stream of many records: what is held stays near a record's size, whether one member, many, or none."""
+    import tracemalloc
+
+    body = np.random.default_rng(1).integers(0, 256, 100_000).astype(np.uint8).tobytes()
+    plain = [warc.record(i, f"http://h/{i}", body, warc.sha1(body)) for i in range(300)]
+    for data in (b"".join(plain), pack(*plain), b"".join(map(pack, plain))):
+        tracemalloc.start()
+        n = sum(x[0] == "record" for x in warc.scan(warc.Archive(pa.BufferReader(data))))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 300 and most < 5_000_000 < len(data) / 5
+    records, gaps = warc.salvage(plain[0] + warc.record(1, "u", body * 3, warc.sha1(body * 3)) + plain[2], most=200_000)
+    assert page_ids(records) == [0, 2] and "longer than" in gaps[0][2]
+
+
 def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
