@@ -4,7 +4,8 @@ A document is its token ids and the id 1. Whole windows are cut off its front fi
 ``piece`` tokens, is shared among windows so that they are near equal: partial partitions of the largest spread are
 merged, the fullest windows of one with the emptiest of the other. Where a window exceeds the capacity, the number of
 windows rises and the differencing begins anew. Each task packs its rows block by block, about ``block`` tokens at a time,
-so its memory is bounded and nothing is shuffled; a hot key can't arise.
+so its memory is bounded. The pieces of its last block, which may be too few to share well, are dealt out again, by a hash, to tasks of about
+``block`` tokens: padding doesn't depend on how the input is partitioned. Only those rows are shuffled; a hot key can't arise.
 
 Sequences are padded to the capacity, but one whose length is a power of two is left as it is.
 
@@ -23,8 +24,9 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import as_long, as_text
+from .common import as_long, as_text, save
 from .tokens import FOLDER, byte_bpe
 
 CAPACITY = 2048
@@ -94,9 +96,27 @@ def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
 
 
 SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+#: Sequence ids of the pieces that are dealt out again begin here.
+SECOND = 1 << 62
+
+
+def placed(rows: pd.DataFrame, capacity: int, first: int) -> pd.DataFrame:
+    """The pieces with their windows, numbered from ``first``, in order of window, and their places in them."""
+    length = rows["length"].to_numpy(np.int64)
+    full = length == capacity
+    window = np.zeros(len(rows), np.int64)
+    window[full] = np.arange(full.sum())
+    window[~full] = full.sum() + windows(length[~full], capacity)
+    order = np.argsort(window, kind="stable")
+    out, window, length = rows.iloc[order].copy(), window[order], length[order]
+    before = np.cumsum(length) - length
+    out["sequence_id"] = first + window
+    out["offset"] = before - before[np.searchsorted(window, window)]
+    return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = 512, block: int = 500_000, folder: str = FOLDER) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = 170, block: int = 500_000, folder: str = FOLDER) -> DataFrame:
     """One row per piece, with its place in its sequence; sequence ids are the task's number times 2**33 and a count."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,32 +124,31 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = 512, block: int
         first = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         held = 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal first, rows, held
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            length = out["length"].to_numpy(np.int64)
-            full = length == capacity
-            window = np.zeros(len(out), np.int64)
-            window[full] = np.arange(full.sum())
-            window[~full] = full.sum() + windows(length[~full], capacity)
-            order = np.argsort(window, kind="stable")
-            out, window, length = out.iloc[order], window[order], length[order]
-            before = np.cumsum(length) - length
-            out["sequence_id"] = first + window
-            out["offset"] = before - before[np.searchsorted(window, window)]
-            first += int(window[-1]) + 1
-            rows, held = [], 0
-            return out
-
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
                 ids = np.append(bpe.ids(text), np.array([END], "<u4")).astype("<u4", copy=False)
                 rows += [(doc_id, s, n, zlib.crc32(ids[s : s + n]), len(ids)) for s, n in cut(len(ids), capacity, piece)]
                 held += len(ids)
                 if held >= block:
-                    yield flush()
+                    out = placed(pd.DataFrame(rows, columns=PIECE), capacity, first)
+                    first = int(out["sequence_id"].iloc[-1]) + 1
+                    yield out
+                    rows, held = [], 0
+        if rows:  # whole windows are done; of the others the place is their number in the task, for now
+            left = pd.DataFrame(rows, columns=PIECE)
+            full = left["length"] == capacity
+            if full.any():
+                yield placed(left[full], capacity, first)
+            if not full.all():
+                yield left[~full].assign(sequence_id=pd.NA, offset=(TaskContext.get().partitionId() << 33) + np.arange((~full).sum())).astype({"sequence_id": "Int64"})
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [pdf[PIECE] for pdf in batches if len(pdf)]  # about a block
         if rows:
-            yield flush()
+            yield placed(pd.concat(rows), capacity, SECOND + (TaskContext.get().partitionId() << 33))
 
-    return as_long(docs.select(as_text("doc_id"), "text").mapInPandas(packed, SCHEMA), "doc_id")
+    out = save(docs.select(as_text("doc_id"), "text").mapInPandas(packed, SCHEMA), "packed")
+    left = out.filter("sequence_id is null")
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    second = left.repartition(max(1, round(tokens / block)), "offset").mapInPandas(again, SCHEMA)
+    return as_long(out.filter("sequence_id is not null").unionByName(second), "doc_id")

@@ -10,7 +10,7 @@ The vocabulary is that of a sentencepiece file. Its own scores are merge ranks,
 score of Zipf's law, -ln(r * H), H being the harmonic sum; ``scores="file"`` takes the scores of the file.
 
 A text is split before each space as the metaspace rule does (a leading space is added); each part is a Viterbi problem
-of its own, and each Python worker remembers the results of up to ``MEMO`` parts. Only the last ``longest`` places of a part
+of its own, and each Python worker remembers the results of up to ``MEMO`` parts of up to ``SHORT`` characters. Only the last ``longest`` places of a part
 are kept, so a part of any length takes little memory.
 
 Defined results: a null or empty text has 0 tokens. Repeated rows are counted each. An empty table gives an empty result.
@@ -30,7 +30,7 @@ from .common import as_long, as_text
 from .tokens import FOLDER
 
 SPACE_MARK = "▁"
-MEMO = 500_000
+MEMO, SHORT = 500_000, 64
 #: Fixed value: what the score of an unknown character lies below the lowest score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
 
@@ -104,9 +104,11 @@ class Unigram:
         for part in marked.split(SPACE_MARK)[1:]:
             got = memo.get(part)
             if got is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = memo[part] = self.part(SPACE_MARK + part)
+                got = self.part(SPACE_MARK + part)
+                if len(part) <= SHORT:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[part] = got
             n += got[0]
             total += got[1]
         return n, total

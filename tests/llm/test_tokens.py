@@ -102,6 +102,19 @@ def test_packing_round_trip(corpus, odd, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 64])
+def test_padding_does_not_depend_on_partitions(spark, partitions):
+    """Near-equal windows that are at least 98 % full, however the input is dealt."""
+    import random
+
+    from tests.llm.conftest import frame, prose
+
+    rng = random.Random(13)
+    docs = frame(spark, [(i, prose(rng, rng.choice([10, 60, 200, 900])), "s") for i in range(1200)]).repartition(partitions, "doc_id")
+    got = packing.pack(docs, block=200_000).groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
+    assert got.max() <= 2048 and got.sum() >= 0.98 * 2048 * len(got)
+
+
 def check_pieces(got, docs):
     """Each id of each document lies in exactly one piece, told by CRCs."""
     left = defaultdict(int)
