@@ -1,9 +1,13 @@
 """Near-dedup by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A document is a weighted set of its shingles (``shingle`` words, A-Z lower-cased; all words where there are fewer): the weight
-is the count in the text times 1 + ln((1 + N) / (1 + df)) / ln(1 + N), which lies between 1 and 2, so that links within a large
-group of copies don't vanish for want of rarity. df is the number of documents that hold a shingle of the same one of
-``features`` hash slots (feature hashing: a table of fixed size, counted over all documents).
+is the count in the text times 1 + ln((1 + N) / (1 + df)) / ln(2 + N), which lies between 1 and 2, so that links within a large
+group of copies don't vanish for want of rarity.
+
+df comes from a table of ``features`` hash slots, counted over all documents: a slot counts every document that holds one of its
+shingles. What other shingles are expected to add, the mean load L of a slot, is taken off, with three standard deviations (``allowance``),
+so a shingle that stands in one document has df 1 however many shingles share its slot, and one in d documents has d less at most about
+6 * sqrt(L). With a load far below 1 the counts are exact but for collisions. The table's size doesn't grow: it is broadcast.
 
 Improved consistent weighted sampling gives ``bands * rows`` samples, equal for two documents with a probability of their weighted
 Jaccard similarity each. Its random numbers come from fixed tables that the shingle's hash points into. Documents that
@@ -18,6 +22,7 @@ it has none. Repeated rows share their class. An empty table gives an empty resu
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import as_long, as_text, join_groups, might_contain, save
 from .links import Tools, link
 
-FEATURES = 1 << 20
+FEATURES = 1 << 21
 CHUNK = 1 << 12
 TABLE = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -41,12 +46,14 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 class _Words(dict):
-    """Word to its 64-bit hash; forgets all when it has many."""
+    """Word to its 64-bit hash; keeps words of up to 64 bytes, and forgets all when it has many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -93,6 +100,7 @@ def document_frequencies(docs: DataFrame, shingle: int, features: int) -> tuple[
         if n:
             yield pd.DataFrame([(c // CHUNK, n if c == 0 else 0, zlib.compress(total[c : c + CHUNK].astype("<i8").tobytes(), 1)) for c in range(0, features, CHUNK)], columns=["chunk", "n", "counts"])
 
+    # a chunk's counts are summed as they stream by; what goes to the driver is compressed
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         n: dict[int, int] = {}
@@ -101,18 +109,26 @@ def document_frequencies(docs: DataFrame, shingle: int, features: int) -> tuple[
                 counts = np.frombuffer(zlib.decompress(b), "<i8")
                 total[c] = total[c] + counts if c in total else counts
                 n[c] = n.get(c, 0) + int(k)
-        yield pd.DataFrame([(c, n[c], total[c].astype("<i8").tobytes()) for c in total], columns=["chunk", "n", "counts"])
+        yield pd.DataFrame([(c, n[c], zlib.compress(total[c].astype("<i8").tobytes(), 1)) for c in total], columns=["chunk", "n", "counts"])
 
     schema = "chunk int, n long, counts binary"
     parts = docs.select("text").mapInPandas(counted, schema).repartition("chunk").mapInPandas(summed, schema).toPandas()
     df, n = np.zeros(features, np.int64), 0
     for c, k, b in zip(parts["chunk"], parts["n"], parts["counts"], strict=True):
-        df[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(b, "<i8")
+        df[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(b), "<i8")
         n += int(k)
     return df, n
 
 
-def idf(df: np.ndarray, n: int) -> np.ndarray:
+def allowance(load: float) -> float:
+    """What the other shingles of a slot add to its count, at most but for chance: the mean and three deviations of a Poisson
+    variable; at loads under 1, where most slots have one shingle, the deviations count in proportion."""
+    return load + 3 * math.sqrt(load) * min(1.0, load)
+
+
+def idf(counts: np.ndarray, n: int) -> np.ndarray:
+    """The weight of a shingle in each slot, among n documents."""
+    df = np.clip(counts - allowance(float(counts.sum()) / len(counts)), 1, None)
     return (1 + np.log((1 + n) / (1 + df)) / np.log(2 + n)).astype(np.float32)
 
 
@@ -261,7 +277,10 @@ def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "id": pdf["id"], "bands": _bands(pdf["text"], weights.value, o)})
+            # a batch's copies of one text are signed once
+            first = ~pdf["id"].duplicated().to_numpy()
+            made = dict(zip(pdf["id"][first], _bands(pdf["text"][first], weights.value, o), strict=True))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "id": pdf["id"], "bands": [made[i] for i in pdf["id"]]})
 
     rows = save(as_long(hashed.mapInPandas(banded, "doc_id string, id long, bands array<long>"), "doc_id"), "near-signatures")
     members = rows.filter("bands is not null").groupBy("id").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "id")

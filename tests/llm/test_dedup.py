@@ -120,6 +120,26 @@ def test_near(spark, corpus, odd, nothing):
     assert near_dedup.dedup(odd).filter("text = ''").count() + near_dedup.dedup(odd).filter("text is null").count() == 1
 
 
+def test_idf_at_scale():
+    """200,000 documents of 300 shingles, one in a hundred of them common: rare ones weigh near 2, common ones as their frequency says."""
+    rng = np.random.default_rng(2)
+    n, size = 200_000, near_dedup.FEATURES
+    rare = rng.integers(0, size, n * 300)
+    counts = np.bincount(rare, minlength=size).astype(np.int64)
+    common = rng.choice(size, 200, replace=False)
+    true = rng.integers(2_000, 100_000, 200)
+    counts[common] += true
+    got = near_dedup.idf(counts, n)
+    want = 1 + np.log((1 + n) / (1 + true)) / np.log(2 + n)
+    assert np.abs(got[common] - want).max() < 0.01
+    exact = 1 + np.log((1 + n) / 2) / np.log(2 + n)
+    others = np.delete(got, common)
+    assert (others > exact - 1e-3).mean() > 0.99 and others.min() > 1.7 > got[common].max()
+    one = np.zeros(size, np.int64)
+    one[:3] = 1, 2, 50
+    np.testing.assert_allclose(near_dedup.idf(one, 99)[:3], 1 + np.log(100 / (1 + np.array([1, 2, 50]))) / np.log(101), rtol=1e-4)
+
+
 def plain_shingles(t):
     h, n = near_dedup.shingled(t, 5)
     return dict(zip(h.tolist(), n.tolist(), strict=True))
