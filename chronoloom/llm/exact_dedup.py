@@ -1,8 +1,10 @@
 """Exact dedup with a persistent digest index, bucketed and sorted by digest.
 
-Texts are equal when identical after lower-casing A-Z only. The index is a Parquet table with one row per text ever
-seen. A batch is reduced to one row per text, anti-joined with the index by a sort-merge join (the index side needs
-no shuffle, being bucketed and sorted by the key) and what is new is appended.
+Texts are equal when identical after lower-casing A-Z only. The index is a folder of runs, each a Parquet table of one row per
+text, with one file per bucket, sorted by digest. A batch is reduced to one row per text and anti-joined with the runs by sort-merge
+joins, for which a run needs neither a shuffle nor a sort; what is new is appended as another run. When there are MOST_RUNS of
+them they are merged into one. All runs of an index have as many buckets as the first one, which follow from the number of texts
+expected.
 
 Defined results: a null text counts as empty. Of equal texts the row with the largest doc_id stays, a null id being
 the smallest; of rows that also share the id, one stays. An empty table gives an empty result and leaves the index as
@@ -17,7 +19,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, new_path, save
+from .common import drop, join_groups, new_path, save, settings
+
+#: Runs that are merged into one.
+MOST_RUNS = 8
+#: Texts to a bucket, and the most buckets that Spark allows.
+PER_BUCKET, MOST_BUCKETS = 2_000_000, 100_000
+#: The order of a bucket's one file is used in joins.
+ORDERED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 def normalised(text: Column) -> Column:
@@ -30,27 +39,81 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The digests of all texts seen so far, in a folder that outlives the session."""
+    """The digests of all texts seen so far, in a folder that outlives the session.
+
+    A run is a folder named run-<number>-<buckets>-<id>; it counts once Spark's writer has marked it as a success.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path or new_path(spark, "digests"), buckets
-        self.name = f"digests_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{self.path}'"
-        )
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, expected: int | None = None):
+        self.spark, self.path, self.expected = spark, path or new_path(spark, "digests"), expected
+        self.where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.store = self.where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.names: dict[str, str] = {}
+        found = self.runs()
+        self.buckets = int(found[0].split("-")[2]) if found else buckets
+
+    def runs(self) -> list[str]:
+        """The runs' folders, oldest first."""
+        if not self.store.exists(self.where):
+            return []
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        found = [x.getPath().getName() for x in self.store.listStatus(self.where)]
+        whole = [x for x in found if x.startswith("run-") and self.store.exists(path(f"{self.path}/{x}/_SUCCESS"))]
+        return sorted(whole, key=lambda x: int(x.split("-")[1]))
+
+    def run(self, folder: str) -> DataFrame:
+        if folder not in self.names:
+            self.names[folder] = f"digests_{uuid.uuid4().hex}"
+            self.spark.sql(
+                f"CREATE TABLE {self.names[folder]} (text_sha256 STRING, keep_id BIGINT, batch STRING) USING parquet "
+                f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{folder}'"
+            )
+        return self.spark.table(self.names[folder])
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        out = self.spark.createDataFrame([], "text_sha256 string, keep_id long, batch string")
+        for r in self.runs():
+            out = out.unionByName(self.run(r))
+        return out
+
+    def size_for(self, texts: int) -> None:
+        """Settles the number of buckets of a new index."""
+        if self.buckets is None:
+            self.buckets = min(MOST_BUCKETS, max(8, -(-(self.expected or 4 * texts) // PER_BUCKET)))
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The rows of groups whose digest isn't in the index."""
-        return groups.join(self.table().hint("merge"), "text_sha256", "left_anti")
-
-    def append(self, groups: DataFrame, batch: str) -> None:
-        """Add the unseen digests of groups; they are settled first, since the table that they are compared with grows."""
-        new = save(self.unseen(groups).select("text_sha256", F.col("keep_id"), F.lit(batch).alias("batch")), "unseen")
-        new.repartition(self.buckets, "text_sha256").write.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.name)
+        if runs := self.runs():
+            groups = groups.repartition(self.buckets, "text_sha256")
+            for r in runs:
+                groups = groups.join(self.run(r).hint("merge"), "text_sha256", "left_anti")
+        return groups
+
+    def seen(self, groups: DataFrame) -> DataFrame:
+        """The rows of groups whose digest is in the index, with first_id, the id that stayed then."""
+        out = groups.limit(0).withColumn("first_id", F.lit(None).cast("long"))
+        for r in self.runs():
+            mine = groups.repartition(self.buckets, "text_sha256")
+            out = out.unionByName(mine.join(self.run(r).hint("merge").select("text_sha256", F.col("keep_id").alias("first_id")), "text_sha256"))
+        return out.dropDuplicates(["text_sha256"])  # a merge that was cut off leaves a text in two runs
+
+    def append(self, new: DataFrame, batch: str) -> None:
+        """Add digests that aren't in the index, as a run; then merge the runs if there are many."""
+        runs = self.runs()
+        number = 1 + int(runs[-1].split("-")[1]) if runs else 0
+        self._write(new.select("text_sha256", "keep_id", F.lit(batch).alias("batch")), number)
+        if len(runs) + 1 >= MOST_RUNS:
+            old = self.runs()
+            self._write(self.table().dropDuplicates(["text_sha256"]), number + 1)
+            for r in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(r, 'digests_none')}")
+                self.store.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{r}"), True)
+
+    def _write(self, rows: DataFrame, number: int) -> None:
+        folder, name = f"run-{number:06d}-{self.buckets}-{uuid.uuid4().hex[:8]}", f"digests_{uuid.uuid4().hex}"
+        out = rows.repartition(self.buckets, "text_sha256").write.format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
+        out.option("path", f"{self.path}/{folder}").saveAsTable(name)
+        self.names[folder] = name
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -76,14 +139,15 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None =
         .select("text_sha256", F.col("stays.doc_id").alias("keep_id"), F.col("stays.row_id").alias("keep_row"), "group_size"),
         "digest-groups",
     )
-    index.append(groups, batch)
-    seen = index.table().select("text_sha256", F.col("keep_id").alias("first_id"), "batch")
-    settled = save(
-        groups.join(seen.hint("merge"), "text_sha256").select(
-            "text_sha256", F.col("first_id").alias("keep_id"), F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"), "group_size"
-        ),
-        "digest-settled",
-    )
+    index.size_for(groups.count())
+    with settings(docs.sparkSession, ORDERED):
+        new = save(index.unseen(groups), "digest-new")
+        old = index.seen(groups).select("text_sha256", F.col("first_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), "group_size")
+        settled = save(new.unionByName(old), "digest-settled")
+    if not new.isEmpty():
+        index.append(new, batch)
+    drop(groups)
+    drop(new)
     return join_groups(rows, settled, "text_sha256", "group_size").select(
         "doc_id", "keep_id", F.col("group_size").cast("long"), F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False)).alias("kept"), "text_sha256"
     )

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.llm import exact_dedup, line_dedup, links, near_dedup
 from tests.llm.conftest import Sets, edited, frame, prose
@@ -59,6 +60,37 @@ def test_exact_index_persists(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_exact_index_runs(spark, tmp_path, monkeypatch):
+    """Runs are sorted by bucket, one file each, so that joins neither shuffle nor sort them; many are merged; half-written ones don't count."""
+    path = "file://" + str(tmp_path / "index")
+    monkeypatch.setattr(exact_dedup, "MOST_RUNS", 4)
+    seen = {}
+    for k in range(6):
+        docs = frame(spark, [(100 * k + i, f"text {(7 * k + i) % 60}", "s") for i in range(20)])
+        got = exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, path, 4 if k == 0 else None), str(k)).collect()
+        for r in got:
+            text = f"text {(7 * k + r.doc_id - 100 * k) % 60}"
+            assert (r.kept, r.keep_id) == ((False, seen[text]) if text in seen else (True, r.doc_id))
+        seen |= {f"text {(7 * k + i) % 60}": 100 * k + i for i in range(20) if f"text {(7 * k + i) % 60}" not in seen}
+        runs = exact_dedup.DigestIndex(spark, path).runs()
+        assert len(runs) == (k + 1 if k < 3 else k - 2)
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.buckets == 4 and index.table().count() == len(seen) == 55
+    (tmp_path / "index" / "run-000099-4-broken").mkdir()
+    assert len(index.runs()) == 3
+    for r in index.runs():
+        files = [f.name for f in (tmp_path / "index" / r).glob("*.parquet")]
+        assert len({f.split("_")[-1] for f in files}) == len(files)
+    with exact_dedup.settings(spark, exact_dedup.ORDERED):
+        many = spark.range(100).select(F.sha2(F.col("id").cast("string"), 256).alias("text_sha256"), F.col("id").alias("keep_id"))
+        plan = index.unseen(many)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == plan.count("Sort [") == 1
+    assert exact_dedup.DigestIndex(spark, path + "-none", expected=10**11).size_for(5) is None
+    large = exact_dedup.DigestIndex(spark, path + "-none", expected=10**11)
+    large.size_for(5)
+    assert large.buckets == 50_000
+
+
 def test_exact_index_without_batch_names(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, "file://" + str(tmp_path / "index"), 4)
     docs = frame(spark, [(1, "a b", "s"), (2, "c", "s")])
