@@ -10,8 +10,9 @@ from pyspark.sql.window import Window, WindowSpec
 def fb(x: Column, w: WindowSpec) -> Column:
     """The last value so far; before the first value, the first one to come. Null only if the series has no value."""
     past = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    future = F.first(x, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return F.coalesce(past, future)
+    # where the past has no value, the first one to come is the first one of all: a frame that is the same for all rows is computed once
+    first = F.first(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.coalesce(past, first)
 
 
 def first_valid(x: Column, w: WindowSpec) -> Column:

@@ -42,13 +42,14 @@ def rolling_long(df: DataFrame, features: list[Feature], reach: int, chunk_rows:
     if not names:
         return raw.drop("_chunk")
     w = part.w
-    local = raw.withColumns({f"_l_{n}": F.last(n, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for n in names} | {f"_f_{n}": F.first(n, True).over(w.rowsBetween(0, Window.unboundedFollowing)) for n in names})
+    # the forward fill leaves only the gap at the series' start, before its first value of all
+    local = raw.withColumns({f"_l_{n}": F.last(n, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for n in names} | {f"_f_{n}": F.first(n, True).over(part.all) for n in names})
     ends = raw.groupBy(*spec.key, "_chunk").agg(*[f(n, "seq").alias(f"_{k}_{n}") for n in names for k, f in (("first", lambda n, s: F.min_by(n, F.when(F.col(n).isNotNull(), F.col(s)))), ("last", lambda n, s: F.max_by(n, F.when(F.col(n).isNotNull(), F.col(s)))))])
     chunks = Window.partitionBy(*spec.key).orderBy("_chunk")
     carried = ends.select(
         *spec.key, "_chunk",
         *[F.last(f"_last_{n}", True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_past_{n}") for n in names],
-        *[F.first(f"_first_{n}", True).over(chunks.rowsBetween(1, Window.unboundedFollowing)).alias(f"_next_{n}") for n in names],
+        *[F.first(f"_first_{n}", True).over(chunks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"_next_{n}") for n in names],
     )
     full = local.join(carried, [*spec.key, "_chunk"])
     return full.withColumns({n: F.coalesce(f"_l_{n}", f"_past_{n}", f"_f_{n}", f"_next_{n}") for n in names}).select(*df.columns, *[f.alias for f in features])
