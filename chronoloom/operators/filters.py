@@ -73,8 +73,26 @@ TREND = {
 }
 
 
+def trend_step(s: tuple[float, ...], z: float) -> tuple[float, ...]:
+    """One row of the local linear trend preset, without matrices: level, trend and the covariance's three distinct entries."""
+    x, v, a, b, c = s
+    x, a, b, c = x + v, a + 2 * b + c + 0.01, b + c, c + 0.001
+    if z != z:
+        return x, v, a, b, c
+    ka, kb, miss = a / (a + 0.1), b / (a + 0.1), z - x
+    return x + ka * miss, v + kb * miss, (1 - ka) * a, (1 - ka) * b, c - kb * b
+
+
+def trend_start(first: float) -> tuple[float, ...]:
+    return first, 0.0, 1.0, 0.0, 2.0
+
+
 def local_trend(z: np.ndarray) -> np.ndarray:
-    return Kalman(np.array([first_value(z), 0.0]), **TREND).run(z)
+    s, out = trend_start(first_value(z)), []
+    for v in z.tolist():
+        s = trend_step(s, v)
+        out.append(s[0])
+    return np.array(out, float)
 
 
 def kalman(df: DataFrame, spec: SeriesSpec = EVENTS, **model: list) -> DataFrame:
@@ -206,18 +224,22 @@ def measurement_function(state: np.ndarray) -> float:
 
 
 class FinancialUKF:
-    """Unscented filter over n dimensions of four variables, variable-major.
+    """Unscented filter over n dimensions of four variables, variable-major: all levels, all trends and so on.
+
+    ``literal`` lays the covariances out dimension-major instead, beside a variable-major state, so that for more than one dimension
+    noise goes to other variables than it is meant for; it is there for those who need that layout's numbers.
 
     The process is affine, so the unscented transform is exact in closed form: with S the matrix whose rows are the sigma
     offsets (the lower Cholesky factor, or the root of the diagonal where there is none), C = A S'S A', the predicted
     covariance is C + Q, and the gain comes from C alone with R added to its observed part.
     """
 
-    def __init__(self, first: np.ndarray, scale_floor: float = 1e-12):
+    def __init__(self, first: np.ndarray, scale_floor: float = 1e-12, literal: bool = False):
         n = self.n = len(first)
         scale = max(float(np.std(first)), scale_floor) if n > 1 else 1.0
         self.x = np.concatenate([first, np.zeros(n), np.full(n, 0.1), first])
-        self.p, self.q = np.kron(np.eye(n), np.diag(P4)) * scale, np.kron(np.eye(n), np.diag(Q4)) * scale
+        spread = lambda v: np.diag(np.tile(v, n) if literal else np.repeat(v, n)) * scale
+        self.p, self.q = spread(P4), spread(Q4)
         self.r = np.eye(n) * 0.1 * scale
         self.a, self.c = np.kron(PROCESS, np.eye(n)), np.repeat(OFFSET, n)
 
@@ -240,11 +262,11 @@ class FinancialUKF:
         return self.x[: self.n]
 
 
-def robust_ukf(z: np.ndarray) -> np.ndarray:
+def robust_ukf(z: np.ndarray, literal: bool = False) -> np.ndarray:
     """Filtered levels of (T, n) measurements with gaps."""
     if z.ndim != 2:
         raise ValueError("measurements have two dimensions")
-    ukf = FinancialUKF(np.array([first_value(z[:, j]) for j in range(z.shape[1])]))
+    ukf = FinancialUKF(np.array([first_value(z[:, j]) for j in range(z.shape[1])]), literal=literal)
     return np.array([ukf.step(row) for row in z]).reshape(z.shape)
 
 

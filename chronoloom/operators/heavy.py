@@ -1,4 +1,4 @@
-"""Rolling features that need numpy, all computed in one pass over each series.
+"""Rolling features that need numpy, all computed in one pass over each series, for all windows of a length at once.
 
 A window with a missing value gives no result; results are filled forward, then back.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .series import EVENTS, SeriesSpec
 
 EPS = 1e-10
+#: Values of windows that are held at once.
+CELLS = 4_000_000
 
 
 def hann(n: int) -> np.ndarray:
@@ -48,21 +50,33 @@ def hurst(x: np.ndarray, min_lag: int = 2, max_lag: int = 20) -> np.ndarray:
     return out
 
 
-def entropy_rate(row: np.ndarray, lag: int = 1, bins: int = 10) -> float:
-    """-sum of j * log2(j / m): j the joint density of past and future, m the past's density laid along the future's axis."""
-    if len(row) <= lag:
-        return 0.0
-    past, future = row[:-lag], row[lag:]
-    joint = np.histogram2d(past, future, bins=bins, density=True)[0] + EPS
-    marginal = np.histogram(past, bins=bins, density=True)[0] + EPS
-    return float(-(joint * np.log2(joint / marginal)).sum())
+def binned(x: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's bin among equal ones between its row's least and greatest value, and the rows' bin widths; equal values lie in bins of a range of 1."""
+    lo, hi = x.min(1, keepdims=True), x.max(1, keepdims=True)
+    flat = lo == hi
+    lo, hi = np.where(flat, lo - 0.5, lo), np.where(flat, hi + 0.5, hi)
+    return np.minimum(np.floor((x - lo) / (hi - lo) * bins), bins - 1).astype(np.int64), (hi - lo)[:, 0] / bins
+
+
+def entropy_rate(x: np.ndarray, lag: int = 1, bins: int = 10) -> np.ndarray:
+    """For each row: -sum of j * log2(j / m): j the joint density of past and future, m the past's density laid along the future's axis."""
+    rows, n = x.shape
+    if n <= lag:
+        return np.zeros(rows)
+    (past, wide), (future, high) = binned(x[:, :-lag], bins), binned(x[:, lag:], bins)
+    row, m = np.arange(rows)[:, None], n - lag
+    joint = np.bincount(((row * bins + past) * bins + future).ravel(), minlength=rows * bins * bins).reshape(rows, bins, bins)
+    marginal = np.bincount((row * bins + past).ravel(), minlength=rows * bins).reshape(rows, bins)
+    j = joint / (m * wide * high)[:, None, None] + EPS
+    p = marginal / (m * wide)[:, None] + EPS
+    return -(j * np.log2(j / p[:, None, :])).sum((1, 2))
 
 
 #: Kind: (function of the windows of one length, the fewest rows that give a result).
 KINDS = {
     "fft": (spectrum, 1),
     "hurst": (hurst, 1),
-    "entropy_rate": (lambda x: np.array([entropy_rate(r) for r in x]), 2),
+    "entropy_rate": (entropy_rate, 2),
 }
 
 
@@ -76,8 +90,9 @@ def over_windows(x: np.ndarray, window: int, kind: str) -> np.ndarray:
     if len(x) >= window:
         views = sliding_window_view(x, window)
         good = ~np.isnan(views).any(1)
-        if good.any():
-            out[window - 1 :][good] = f(views[good])
+        for part in np.array_split(np.flatnonzero(good), 1 + int(good.sum()) * window // CELLS):  # copies of the windows, a few at a time
+            if len(part):
+                out[window - 1 + part] = f(views[part])
     return pd.Series(out).ffill().bfill().to_numpy()
 
 

@@ -12,13 +12,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .heavy import over_windows  # noqa: F401  (re-exported for callers that combine both)
 from .series import EVENTS, SeriesSpec
 
 K, EPS = 3.0, 1e-8
+#: Whole windows that a feature in numpy gets at once.
+BLOCK = 8192
 
 
 def kernel(distance: np.ndarray, gamma: float) -> np.ndarray:
@@ -77,43 +79,48 @@ def ewma(df: DataFrame, alpha: float, spec: SeriesSpec = EVENTS, lookback: int |
     return staged.withColumn("ewma_slope", slope).select(*df.columns, "ewma", "ewma_slope")
 
 
-def rescaled_hurst(a: np.ndarray, gamma: float = 3.0, ranges: tuple[int, ...] = (16, 32, 64, 128)) -> float:
-    """The slope of log R/S against log range, with the ranges as kernel windows over the whole array."""
-    if len(a) < 2:
-        return 0.0
+def rescaled_hurst(a: np.ndarray, gamma: float = 3.0, ranges: tuple[int, ...] = (16, 32, 64, 128)) -> np.ndarray | float:
+    """For each row: the slope of log R/S against log range, with the ranges as kernel windows over the whole row."""
+    n = a.shape[-1]
+    if n < 2:
+        return np.zeros(a.shape[:-1])[()]
     ratios = []
     for r in ranges:
-        w = kernel(np.arange(len(a) - 1, -1, -1) / r, gamma)
+        w = kernel(np.arange(n - 1, -1, -1) / r, gamma)
         w = w / (w.sum() + EPS)
-        mean = (a * w).sum()
-        path = np.cumsum((a - mean) * w)
-        ratios.append((path.max() - path.min()) / (((a - mean) ** 2 * w).sum() + EPS))
+        from_mean = a - (a * w).sum(-1, keepdims=True)
+        ratios.append(np.ptp(np.cumsum(from_mean * w, -1), axis=-1) / ((from_mean**2 * w).sum(-1) + EPS))
     c = np.log(ranges) - np.log(ranges).mean()
-    return float((c * np.log(np.maximum(ratios, EPS))).sum() / (c**2).sum())
+    return np.tensordot(c, np.log(np.maximum(ratios, EPS)), 1) / (c**2).sum()
 
 
-def dft_magnitude(a: np.ndarray, window: float, gamma: float, period: float, smoothness: float, min_period: float = 1.0) -> float:
-    """The magnitudes of the kernel-weighted spectrum, averaged with a Gaussian weight around the bin of the period."""
-    n = len(a)
+def dft_magnitude(a: np.ndarray, window: float, gamma: float, period: float, smoothness: float, min_period: float = 1.0) -> np.ndarray | float:
+    """For each row: the magnitudes of the kernel-weighted spectrum, averaged with a Gaussian weight around the bin of the period."""
+    n = a.shape[-1]
     if n <= 1:
-        return 0.0
+        return np.zeros(a.shape[:-1])[()]
     w = kernel(np.arange(n - 1, -1, -1) / (window + EPS), gamma)
     size = np.abs(np.fft.rfft(a * w / (w.sum() + EPS)))
     at = 0.0 if period < min_period else n / (period + EPS)
-    f = np.exp(-((np.arange(len(size)) - at) ** 2) / (2 * (smoothness**2 + EPS)))
-    return float((size * f).sum() / (f.sum() + EPS))
+    f = np.exp(-((np.arange(size.shape[-1]) - at) ** 2) / (2 * (smoothness**2 + EPS)))
+    return (size * f).sum(-1) / (f.sum() + EPS)
 
 
-def array_features(df: DataFrame, features: dict[str, Callable[[np.ndarray], float]], lookback: int = 128, spec: SeriesSpec = EVENTS) -> DataFrame:
-    """The key, order and value of df with one column per feature, a function of the last ``lookback`` values; all in one pass."""
+def array_features(df: DataFrame, features: dict[str, Callable[[np.ndarray], np.ndarray]], lookback: int = 128, spec: SeriesSpec = EVENTS) -> DataFrame:
+    """The key, order and value of df with one column per feature, a function of the last ``lookback`` values; all in one pass.
+
+    A feature gets windows of one length, one a row: those at a series' start one by one, then the whole ones a few thousand at a time.
+    """
     columns = [*spec.key, *spec.order, spec.value]
     schema = df.select(*columns).withColumns({k: F.lit(0.0) for k in features}).schema
 
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(spec.order), kind="stable")
         x = pdf[spec.value].to_numpy(float, na_value=np.nan)
-        frames = [x[max(0, i - lookback + 1) : i + 1] for i in range(len(x))]
-        return pdf.assign(**{k: [f(a) for a in frames] for k, f in features.items()})
+        short = [x[None, : i + 1] for i in range(min(lookback - 1, len(x)))]
+        whole = sliding_window_view(x, lookback) if len(x) >= lookback else np.empty((0, lookback))
+        rest = [whole[i : i + BLOCK] for i in range(0, len(whole), BLOCK)]
+        return pdf.assign(**{k: np.concatenate([np.reshape(f(a), -1) for a in (*short, *rest)]) for k, f in features.items()})
 
     return df.select(*columns).groupBy(*spec.key).applyInPandas(per_series, schema)
 

@@ -97,8 +97,9 @@ def rolling(df: DataFrame, features: list[Feature], spec: SeriesSpec = EVENTS, f
             p, q = F.when(x.isNotNull(), F.col(f"_p{i}")), F.when(F.col(f"_p{i}").isNotNull(), x)
             frames[out] = F.try_divide(F.covar_pop(p, q).over(pairs), F.stddev_pop(p).over(pairs) * F.stddev_pop(q).over(pairs))
         elif f.kind == "future_change":
-            # the mean of the next horizon - 1 values
-            frames[out], filled = F.avg(x).over(w.rowsBetween(1, _horizon(a) - 1)), False
+            # the mean of the next horizon - 1 values, with ``change`` less the value itself
+            ahead = F.avg(x).over(w.rowsBetween(1, _horizon(a) - 1))
+            frames[out], filled = ahead - x if a.get("change") else ahead, False
         elif f.kind == "future_change_vol":
             ahead = w.rowsBetween(1, _horizon(a))
             frames[out], filled = (F.avg(x).over(ahead) - x) / (1 + F.stddev_pop(x).over(ahead)), False

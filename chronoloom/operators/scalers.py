@@ -55,9 +55,9 @@ def zero_centre(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(top)).withColumns({c: F.try_divide(F.col(c).cast("double"), F.col("_scale")) for c in columns}).drop("_scale")
 
 
-def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column less its mean, divided by its sample deviation; null where that is 0."""
-    stats = df.agg(*[f(not_nan(F.col(c))).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+def standardise(df: DataFrame, columns: list[str], by: DataFrame | None = None) -> DataFrame:
+    """Each column less its mean, divided by its sample deviation, both of the rows of ``by`` (df itself unless given); null where that is 0."""
+    stats = (df if by is None else by).agg(*[f(not_nan(F.col(c))).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_samp))])
     out = df.crossJoin(F.broadcast(stats))
     return out.withColumns({c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}).select(*df.columns)
 

@@ -1,25 +1,19 @@
 """Segments of consecutive windows, and their schedule into batches whose lanes carry state.
 
-Draws come from hashes of the key, the lookback, the draw and a seed, so reruns agree.
+Draws come from digests of the key, the lookback, the draw and a seed, so reruns agree.
 """
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import normal, uniform
 
-def uniform(*of: Column | str, seed: int) -> Column:
-    """A number in (0, 1) from the columns and the seed."""
-    return (F.pmod(F.xxhash64(*of, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-
-def normal(*of: Column | str, seed: int) -> Column:
-    return F.sqrt(-2 * F.ln(uniform(*of, seed=seed))) * F.cos(2 * math.pi * uniform(*of, seed=seed + 1))
+#: Segments that one task schedules.
+EPOCH = 100_000
 
 
 def lengths(items: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -99,14 +93,17 @@ def schedule(segments: pd.DataFrame, batch_size: int, shuffle: bool = False, see
     return pd.DataFrame(out, columns=["batch_no", "lane", "seg_key", "item_no", "connected", "lookback", "max_lookback", "sort_pos"])
 
 
-def batches(items: DataFrame, batch_size: int, shuffle: bool = False, seed: int = 0, epochs: int = 1, zero: Column | None = None) -> DataFrame:
+def batches(items: DataFrame, batch_size: int, shuffle: bool = False, seed: int = 0, epochs: int | None = None, zero: Column | None = None) -> DataFrame:
     """Segment items (seg_key, lookback, item_no, x_window, y) with their place in the batches; x_window is padded on the
     right to the longest lookback of its batch, with ``zero`` (0.0; an array where the windows' values are arrays).
 
     Only the segments' sizes are scheduled, in one task for each epoch's worth (``epochs`` groups by hash of the segment, each with
-    batches of its own); the items themselves meet their places by an equi-join.
+    batches of its own; by default as many as make about EPOCH segments each); the items themselves meet their places by an equi-join.
     """
-    sizes = items.groupBy("seg_key", "lookback").agg(F.count(F.lit(1)).alias("n_items")).withColumn("epoch", F.pmod(F.xxhash64("seg_key"), F.lit(epochs)))
+    sizes = items.groupBy("seg_key", "lookback").agg(F.count(F.lit(1)).alias("n_items"))
+    if epochs is None:
+        epochs = 1 + sizes.count() // EPOCH
+    sizes = sizes.withColumn("epoch", F.pmod(F.xxhash64("seg_key"), F.lit(epochs)))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         return schedule(pdf, batch_size, shuffle, seed).assign(epoch=pdf["epoch"].iloc[0])

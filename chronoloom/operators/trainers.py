@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import digest
 from . import panel as panels
 from . import scalers, segments, windows
 from .series import EVENTS, SeriesSpec
@@ -18,13 +19,25 @@ def epoch(df: DataFrame, lookbacks: list[int], batch_size: int, samples: int = 3
     return segments.batches(drawn.withColumn("seg_key", F.concat_ws("/", *keys, "seg_id")), batch_size, seed=seed)
 
 
-def prepared(panel: DataFrame, inputs: list[str], target: str, slices: int, shortest: int, longest: int, seed: int = 0) -> DataFrame:
-    """Random slices of a panel: inputs imputed and standardised by the whole panel, and the symbol one-hot, as one array ``row``; the target as ``y_value``."""
-    stats = panel.agg(*[f(c).alias(f"_{k}_{c}") for c in inputs for k, f in (("m", F.avg), ("s", F.stddev_samp))], F.sort_array(F.collect_set("symbol_id")).alias("_symbols"))
-    cut = panels.impute(panels.sample(panel, slices, shortest, longest, seed), inputs).crossJoin(F.broadcast(stats))  # one row
-    scaled = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in inputs]
-    hot = F.transform("_symbols", lambda s: (s == F.col("symbol_id")).cast("double"))
-    return cut.select("sample_id", "date_id", "symbol_id", "time_id", F.concat(F.array(*scaled), hot).alias("row"), F.coalesce(target, F.lit(0.0)).alias("y_value"))
+def features(panel: DataFrame, inputs: list[str], slices: int, shortest: int, longest: int, imputed: list[str], seed: int = 0) -> DataFrame:
+    """Random slices of a panel: ``imputed`` columns imputed, inputs standardised by the whole panel, and the symbol one-hot in sparse
+    form: ``hot_at``, the place of its 1, and ``hot_size``, the number of symbols."""
+    symbols = panels.numbered(panel, ["symbol_id"], "hot_at")
+    size = symbols.agg(F.count(F.lit(1)).alias("hot_size"))  # one row
+    cut = panels.impute(panels.sample(panel, slices, shortest, longest, seed), imputed)
+    return scalers.standardise(cut, inputs, panel).join(symbols, "symbol_id").crossJoin(F.broadcast(size))
+
+
+def prepared(panel: DataFrame, inputs: list[str], target: str, slices: int, shortest: int, longest: int, seed: int = 0, most_symbols: int = 10_000) -> DataFrame:
+    """Random slices of a panel: inputs imputed and standardised by the whole panel, and the symbol one-hot, as one array ``row``; the target as ``y_value``.
+
+    The symbol's part of the array is as long as there are symbols; with more than ``most_symbols`` the query fails: take features() then.
+    """
+    cut = features(panel, inputs, slices, shortest, longest, inputs, seed)
+    width = F.when(F.col("hot_size") <= most_symbols, F.col("hot_size")).otherwise(F.raise_error(F.lit("too many symbols for a dense one-hot array")).cast("long"))
+    hot = F.transform(F.sequence(F.lit(1).cast("long"), width), lambda i: (i == F.col("hot_at") + 1).cast("double"))
+    row = F.concat(F.array(*[F.coalesce(c, F.lit(0.0)) for c in inputs]), hot)
+    return cut.select("sample_id", "date_id", "symbol_id", "time_id", row.alias("row"), F.coalesce(target, F.lit(0.0)).alias("y_value"))
 
 
 def lazy_epoch(panel: DataFrame, inputs: list[str], target: str, lookbacks: list[int], batch_size: int, slices: int = 32, shortest: int = 8, longest: int = 128, seed: int = 0) -> DataFrame:
@@ -41,6 +54,6 @@ def test_segment(panel: DataFrame, inputs: list[str], target: str, lookback: int
     w = SeriesSpec(("date_id", "symbol_id"), ("time_id",)).w
     values = F.struct(F.array(*[F.coalesce(c, F.lit(0.0)) for c in inputs]).alias("row"), F.coalesce(target, F.lit(0.0)).alias("y"))
     ends = panel.withColumn("_r", F.collect_list(values).over(w.rowsBetween(-lookback, 0))).filter(F.size("_r") == lookback + 1)
-    pick = F.min_by(F.struct("date_id", "symbol_id", "time_id", "_r"), F.xxhash64("date_id", "symbol_id", "time_id", F.lit(seed)))
+    pick = F.min_by(F.struct("date_id", "symbol_id", "time_id", "_r"), digest("date_id", "symbol_id", "time_id", seed=seed))
     one = ends.agg(pick.alias("p")).filter("p is not null").select("p.*")
     return one.select("date_id", "symbol_id", (F.col("time_id") - lookback).alias("t0"), F.slice(F.col("_r.row"), 1, lookback).alias("x_window"), F.element_at(F.col("_r.y"), -1).alias("y"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import uniform
 from .series import EVENTS, SeriesSpec
 
 
@@ -56,6 +57,13 @@ def by_centers(df: DataFrame, centers: DataFrame, lookback_ms: int, lookahead_ms
     return out.select(*spec.key, "center", "side", "pos", F.col(spec.value).alias("value"))
 
 
+def batch_by_centers(df: DataFrame, centers: DataFrame, lookback_ms: int, lookahead_ms: int, spec: SeriesSpec = EVENTS, bucket_ms: int | None = None) -> DataFrame:
+    """The same in array form: for each center x_window and y_window, in order of time; a side without rows is an empty array."""
+    rows = by_centers(df, centers, lookback_ms, lookahead_ms, spec, bucket_ms)
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "value"))))["value"]
+    return rows.groupBy(*spec.key, "center").agg(of("x").alias("x_window"), of("y").alias("y_window"))
+
+
 def contiguous(df: DataFrame, lookback_steps: int, horizon_steps: int, stride: int, step_ms: int, spec: SeriesSpec = EVENTS) -> DataFrame:
     """Array windows at the centers without a gap: the row lookback_steps before lies exactly so many steps back, the row
     horizon_steps ahead exactly so many ahead; every stride-th row from the first possible one is a center."""
@@ -78,7 +86,7 @@ def positional(df: DataFrame, lookback: int, horizon: int, mode: str, n_samples:
     if mode == "random":
         spans = df.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("_total")).filter(F.col("_total") >= lookback + horizon)
         draws = spans.select(*spec.key, "_total", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
-        pick = F.pmod(F.xxhash64(*spec.key, "sample", F.lit(seed)), F.col("_total") - horizon - lookback + 1) + lookback
+        pick = F.floor(uniform(*spec.key, "sample", seed=seed) * (F.col("_total") - horizon - lookback + 1)) + lookback
         return out.drop("_total").join(draws.select(*spec.key, "sample", pick.alias("_n")), [*spec.key, "_n"]).drop("_n")
     strides = {"segments": lookback + horizon, "continuous-output-coverage": horizon}
     if mode not in strides:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.filters import TREND, Kalman
+from ..operators.filters import trend_start, trend_step
 
 OUT = "series_id long, ts timestamp, event_id long, x double, y double"
 
@@ -47,11 +47,9 @@ def kalman(stream: DataFrame, late: str = "drop") -> DataFrame:
 
     def step(held: list[float] | None, x: float) -> tuple[list[float], float]:
         if held is None:
-            held = [0.0 if np.isnan(x) else x, 0.0, *np.ravel(TREND["p0"])]
-        k = Kalman(np.array(held[:2]), np.array(held[2:]).reshape(2, 2), TREND["f"], TREND["q"], TREND["h"], TREND["r"])
-        k.predict()
-        y = k.update(x)
-        return [*k.x, *k.p.ravel()], y
+            held = trend_start(0.0 if np.isnan(x) else x)
+        held = trend_step(tuple(held), x)
+        return list(held), held[0]
 
     return _keyed(stream, step, late)
 

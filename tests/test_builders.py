@@ -131,6 +131,36 @@ def test_synthetic(spark):
     assert np.isfinite(synthetic.multifractal(100, rng)).all()
 
 
+def test_varying_exponent():
+    """The noise is rough where the exponent is low and smooth where it is high, of variance 1, and scales."""
+    rng = np.random.default_rng(3)
+    x = np.stack([synthetic.fractional_brownian(np.linspace(0.2, 0.8, 512), rng) for _ in range(300)])
+    near = lambda at: (x[:, at : at + 59] * x[:, at + 1 : at + 60]).mean()
+    for at in (0, 226, 452):
+        h = 0.2 + 0.6 * (at + 30) / 511
+        assert near(at) == pytest.approx(2 ** (2 * h - 1) - 1, abs=0.05)
+    assert x.var() == pytest.approx(1, abs=0.05)
+    same = lambda **o: synthetic.fractional_brownian(np.full(64, 0.7), np.random.default_rng(1), **o)
+    np.testing.assert_allclose(same(scale=3.0), 3 * same())
+    np.testing.assert_allclose(same(walk=True), same().cumsum())
+    assert len(synthetic.fractional_brownian(np.zeros(0), rng)) == 0
+
+
+def test_composite_parts():
+    rng = np.random.default_rng(4)
+    for level in range(1, 6):
+        d = synthetic.challenging(level, noise_level=0.0)(4000, rng)
+        assert tuple(d) == synthetic.PARTS
+        np.testing.assert_allclose(d["x"], sum(d[k] for k in ("base_dynamics", "fractal_noise", "trend", "nonlinear_ar", "jumps", "lrd_noise")))
+        assert set(d["regime"]) == set(range(min(4, level + 1)))
+        assert [bool(np.any(d[k])) for k in ("nonlinear_ar", "jumps", "lrd_noise")] == [level >= 2, level >= 4, level >= 5]
+        assert (d["volatility"] == 1).all() == (level < 3)
+    changes = np.flatnonzero(np.diff(d["regime"])) + 1
+    assert 4000 / 60 / 2 < len(changes) < 4000 / 60 * 2
+    logs = np.log(d["volatility"])
+    assert np.corrcoef(logs[1:], logs[:-1])[0, 1] > 0.9
+
+
 def test_models(spark):
     x = np.random.default_rng(0).normal(size=(3, 16, 4))
     w = models.stateful_lstm_weights(4, 8, 2, 2, True, "attention")
@@ -169,3 +199,80 @@ def test_models(spark):
     df = spark.createDataFrame([(0, [1.0] * 8), (1, None), (2, [1.0])], "id long, x_window array<double>")
     got = {r.id: r.forecast for r in models.score(df, models.mlp, models.mlp_weights(8, 1.0, 0, 2), (2, 4)).collect()}
     assert len(got[0]) == 2 and got[1] is None and got[2] is None
+
+
+def test_epochs(spark):
+    """Every window of every segment has one place, in lanes that connect; panel rows hold the features and one 1 for the symbol."""
+    from chronoloom.operators import trainers
+
+    df = series(spark, [float(v) for v in range(200)]).withColumn("seq", F.col("event_id"))
+    out = trainers.epoch(df, [4, 8], 3, 5, 2, 6, seed=1).toPandas()
+    want = segments.drawn(windows.pairs(df, [4, 8], False), ("series_id", "lookback"), 5, "uniform", 2, 6, 1).toPandas()
+    assert sorted(zip(out["lookback"], out["seg_id"], out["item_no"], out["item"])) == sorted(zip(want["lookback"], want["seg_id"], want["item_no"], want["item"]))
+    for r in out.itertuples():
+        first = r.item * r.lookback
+        assert list(r.x_window) == [float(first + k) for k in range(r.lookback)] + [0.0] * (r.max_lookback - r.lookback) and r.y == first + r.lookback - 1
+    assert not out.duplicated(["batch_no", "lane"]).any()
+    panel_ = spark.createDataFrame([(d, s, t, float(s * t) if t % 3 else None, float(t)) for d in range(3) for s in (5, 7, 9) for t in range(12)], "date_id long, symbol_id long, time_id long, feature double, responder double")
+    rows = trainers.prepared(panel_, ["feature"], "responder", 6, 4, 8, 1).collect()
+    places = {}
+    for r in rows:
+        assert len(r.row) == 4 and sum(r.row[1:]) == 1 and r.y_value == r.time_id
+        places.setdefault(r.symbol_id, set()).add(r.row[1:].index(1.0))
+    assert all(len(p) == 1 for p in places.values()) and len({p for q in places.values() for p in q}) == len(places)
+    with pytest.raises(Exception, match="too many symbols"):
+        trainers.prepared(panel_, ["feature"], "responder", 6, 4, 8, 1, most_symbols=2).collect()
+    lazy = trainers.lazy_epoch(panel_, ["feature"], "responder", [1, 2], 2, 6, 4, 8, 1).toPandas()
+    assert len(lazy) > 0 and not lazy.duplicated(["batch_no", "lane"]).any() and all(len(w) == m for w, m in zip(lazy["x_window"], lazy["max_lookback"]))
+
+
+def test_keys_are_numbered_without_gaps(spark):
+    keys = spark.range(500).select((F.col("id") % 50).alias("a"), F.floor(F.col("id") / 100).alias("b"))
+    got = panel.numbered(keys, ["a", "b"], "n").toPandas()
+    assert sorted(got["n"]) == list(range(250)) and not got.duplicated(["a", "b"]).any()
+    draws = panel.sample(spark.createDataFrame([(d, s, t) for d in range(4) for s in range(5) for t in range(9)], "date_id long, symbol_id long, time_id long"), 4000, 2, 5, 3)
+    share = draws.select("sample_id", "date_id", "symbol_id").distinct().groupBy("date_id", "symbol_id").count().toPandas()["count"]
+    assert len(share) == 20 and share.sum() == 4000 and share.between(140, 260).all()  # each of 20 keys 200 times, give or take
+
+
+def test_synthetic_recursions():
+    rng = np.random.default_rng(5)
+    x = synthetic.nonlinear_autoregressive(3, 2, [0.1, 0.2, 0.3])(50, np.random.default_rng(1))
+    w = np.random.default_rng(1).random(2 * 3 + 3) - 0.5
+    for i in range(3, 50):
+        a, b, c = x[i - 3 : i]
+        want = math.tanh(sum(p * q for p, q in zip(w, (a, b, c, a * a, b * b, c * c, a * b, a * c, b * c))))
+        assert x[i] == pytest.approx(want)
+    heavy = np.concatenate([synthetic.multifractal(512, rng, 0.5, 0.6) for _ in range(40)])
+    light = np.concatenate([synthetic.multifractal(512, rng, 0.5, 0.0) for _ in range(40)])
+    kurtosis = lambda v: ((v - v.mean()) ** 4).mean() / v.var() ** 2
+    assert kurtosis(light) == pytest.approx(3, abs=0.3) and kurtosis(heavy) > 4
+
+
+def test_decoder():
+    """Against plain loops: one position, head and layer at a time."""
+    w = models.transformer_weights(8, 2, 2, layers=2, bias=True, seed=3)
+    x = np.random.default_rng(0).normal(size=(2, 5, 2))
+    lin = lambda n, v: w[f"{n}.w"] @ v + w[f"{n}.b"]
+    norm = lambda n, v: (v - v.mean()) / math.sqrt(v.var() + 1e-5) * w[f"{n}.s"] + w[f"{n}.b"]
+    gelu = lambda v: np.array([0.5 * a * (1 + math.erf(a / math.sqrt(2))) for a in v])
+
+    def turned(v, t):
+        d = len(v)
+        angle = [t / 10000 ** (2 * (i % (d // 2)) / d) for i in range(d)]
+        return np.array([v[i] * math.cos(angle[i]) + (-v[i + 1] if i % 2 == 0 else v[i - 1]) * math.sin(angle[i]) for i in range(d)])
+
+    for row, got in zip(x, models.decoder(w, x, 2), strict=True):
+        y = [lin("project", v) for v in row]
+        for k in range(2):
+            b = f"block{k}"
+            z = [norm(f"{b}.norm1", v) for v in y]
+            q, ks, v = ([lin(f"{b}.{p}", a) for a in z] for p in "qkv")
+            for t in range(5):
+                seen = []
+                for h in (slice(0, 4), slice(4, 8)):
+                    e = np.array([math.exp(turned(q[t][h], t) @ turned(ks[u][h], u) / 2) for u in range(t + 1)])
+                    seen.append(sum(a * v[u][h] for u, a in enumerate(e / e.sum())))
+                y[t] = y[t] + lin(f"{b}.o", np.concatenate(seen))
+            y = [a + lin(f"{b}.down", gelu(lin(f"{b}.up", norm(f"{b}.norm2", a)))) for a in y]
+        np.testing.assert_allclose(got, [lin("out", a) for a in y], rtol=1e-9)

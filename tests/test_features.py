@@ -187,3 +187,66 @@ def test_long_series_in_chunks(spark, walk):
             np.testing.assert_allclose(column(got, f.alias, key), column(want, f.alias, key), rtol=1e-9, atol=1e-9)
     with pytest.raises(ValueError):
         rolling_long(placed, [Feature("future_change", args={"horizon": 3})], 10)
+
+
+def test_fill_is_linear_in_the_length_of_a_series(spark):
+    """One series of 40,000 rows: filling takes no more than twice the time of not filling, give or take a second."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    one = spark.range(40_000).select(F.lit(0).cast("long").alias("series_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.col("id").alias("event_id"), F.when(F.col("id") % 3 > 0, F.rand(1)).alias("x"))
+    one = one.repartition(4).cache()
+    one.count()
+
+    def seconds(fill):
+        best = []
+        for _ in range(3):
+            began = time.time()
+            rolling(one, [Feature("mean", args={"window": 12})], fill=fill).write.format("noop").mode("overwrite").save()
+            best.append(time.time() - began)
+        return min(best)
+
+    assert seconds(True) <= 2 * seconds(False) + 1
+
+
+def test_random_filters():
+    """On a linear model the ensemble and the particles come near the exact filter; gaps only move them; both repeat with their seed."""
+    rng = np.random.default_rng(7)
+    z = rng.normal(0, 0.3, 300).cumsum() + rng.normal(0, 0.7, 300)
+    z[50:55] = np.nan
+    exact = filters.Kalman([filters.first_value(z), 0.0], np.eye(2), np.eye(2), np.diag([0.1, 0.01]), [[1.0, 0.0]], [[0.5]]).run(z)
+    run = lambda seed, model=None: filters.ensemble(z, np.random.default_rng(seed), np.array([filters.first_value(z), 0.0]), np.eye(2), np.diag([0.1, 0.01]), [[0.5]], 2000, model)[:, 0]
+    assert np.abs(run(0) - exact).mean() < 0.05 and (run(1) == run(1)).all()
+    assert np.abs(run(0, lambda s: s) - exact).mean() < 0.05 and np.abs(run(0, filters.sine_drift) - exact).mean() > 0.05
+    walk = filters.Kalman([0.0], [[25.0]], [[1.0]], [[0.09]], [[1.0]], [[0.49]]).run(z)
+    made = lambda seed, motion: filters.Particles(4000, [(-10.0, 10.0)], 0.3, 0.7, np.random.default_rng(seed), motion).run(z)[:, 0]
+    assert np.abs(made(0, "walk")[5:] - walk[5:]).mean() < 0.05 and (made(2, "walk") == made(2, "walk")).all()
+    prices = 50 * np.exp(rng.normal(0.01, 0.1, 200).cumsum())
+    levels = filters.Particles(4000, [(20.0, 80.0)], 0.3, 0.7, np.random.default_rng(0), "gbm").run(prices)[:, 0]
+    assert np.abs(levels[5:] / prices[5:] - 1).mean() < 0.05
+
+
+def test_ukf_layouts():
+    """Variable-major, every dimension is a filter of its own but for the common scale; the literal layout mixes their noise."""
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(40, 3)).cumsum(0) + np.array([10.0, 20.0, 40.0])
+    z[rng.random(z.shape) < 0.2] = np.nan
+    first = np.array([filters.first_value(z[:, j]) for j in range(3)])
+    got = filters.robust_ukf(z)
+    for j in range(3):
+        one = filters.FinancialUKF(first[j : j + 1])
+        for name in "pqr":
+            setattr(one, name, getattr(one, name) * first.std())
+        np.testing.assert_allclose(got[:, j], [one.step(row[j : j + 1])[0] for row in z], rtol=1e-9)
+    assert np.abs(filters.robust_ukf(z, literal=True) - got).max() > 1e-3
+    np.testing.assert_allclose(filters.robust_ukf(z[:, :1], literal=True), filters.robust_ukf(z[:, :1]))
+
+
+def test_kernel_arrays_by_length(spark, walk):
+    """Whole windows in blocks give what each window gives alone."""
+    f = {"h": kernels.rescaled_hurst, "d": lambda a: kernels.dft_magnitude(a, 16.0, 3.0, 8.0, 1.5)}
+    made = kernels.array_features(series(spark, walk[0]), f, 20)
+    x = np.array(walk[0])
+    for k, g in f.items():
+        np.testing.assert_allclose(column(made, k), [float(g(x[max(0, i - 19) : i + 1])) for i in range(len(x))], rtol=1e-9)
