@@ -1,7 +1,8 @@
-"""Folders for streams: below spark.checkpoint.dir, or a new one where it is unset (tests)."""
+"""Folders for streams: below spark.checkpoint.dir, or where it is unset and all runs in one process, a new one."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import SparkSession
 
 def folder(spark: SparkSession, name: str) -> str:
     there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not there:
         there = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(there)
