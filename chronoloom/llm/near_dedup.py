@@ -35,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, as_text, join_groups, might_contain, save
+from .common import as_long, as_text, join_groups, might_contain, save, settings
 from .links import Tools, link
 
-FEATURES = 1 << 21
+FEATURES = 1 << 20
 CHUNK = 1 << 12
 TABLE = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -270,6 +270,12 @@ class Weighted:
 
 def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """doc_id, text_hash and class_hash of every row; saved."""
+    # a row may be two blocks of texts: small batches bound what the JVM and a worker hold at once
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}):
+        return _text_classes(docs, o)
+
+
+def _text_classes(docs: DataFrame, o: Options) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     hashed = docs.select(as_text("doc_id"), text.alias("text"), F.xxhash64(text).alias("id"))
