@@ -1,4 +1,4 @@
-"""State-space filters as folds over each series, in numpy, one Arrow group per series.
+"""State-space filters as folds over each series, in numpy.
 
 A recurrence needs the rows of a series in order, so a series is one task; only the columns it needs are shuffled. Random
 filters are seeded by the seed and the key, so that reruns and retried tasks agree.
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fill import first_valid
-from .series import EVENTS, SeriesSpec
+from .series import EVENTS, SeriesSpec, over_series
 
 
 def fold(df: DataFrame, f: Callable[[np.ndarray, np.random.Generator], np.ndarray], out: str, spec: SeriesSpec = EVENTS, seed: int = 0) -> DataFrame:
@@ -23,12 +23,11 @@ def fold(df: DataFrame, f: Callable[[np.ndarray, np.random.Generator], np.ndarra
     columns = [*spec.key, *spec.order, spec.value]
     schema = df.select(*columns).withColumn(out, F.lit(0.0)).schema
 
-    def per_series(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(spec.order), kind="stable")
+    def per_series(key: tuple, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         rng = np.random.default_rng([seed, zlib.crc32(repr(tuple(map(str, key))).encode())])
-        return pdf.assign(**{out: f(pdf[spec.value].to_numpy(float, na_value=np.nan), rng)})
+        return {out: f(pdf[spec.value].to_numpy(float, na_value=np.nan), rng)}
 
-    return df.select(*columns).groupBy(*spec.key).applyInPandas(per_series, schema)
+    return over_series(df.select(*columns), schema, per_series, spec)
 
 
 def first_value(z: np.ndarray) -> float:
@@ -337,9 +336,8 @@ def multivariate_ukf(df: DataFrame, values: list[str], spec: SeriesSpec = EVENTS
     columns = [*spec.key, *spec.order, *values]
     schema = df.select(*columns).withColumns({f"{v}_level": F.lit(0.0) for v in values}).schema
 
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(spec.order), kind="stable")
+    def per_series(_: tuple, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         out = robust_ukf(pdf[values].to_numpy(float, na_value=np.nan))
-        return pdf.assign(**{f"{v}_level": out[:, j] for j, v in enumerate(values)})
+        return {f"{v}_level": out[:, j] for j, v in enumerate(values)}
 
-    return df.select(*columns).groupBy(*spec.key).applyInPandas(per_series, schema)
+    return over_series(df.select(*columns), schema, per_series, spec)

@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import EVENTS, SeriesSpec
+from .series import EVENTS, SeriesSpec, over_series
 
 EPS = 1e-10
 #: Values of windows that are held at once.
@@ -101,9 +101,8 @@ def heavy(df: DataFrame, kinds: list[str], window: int, spec: SeriesSpec = EVENT
     columns = [*spec.key, *spec.order, spec.value]
     schema = df.select(*columns).withColumns({k: F.lit(0.0) for k in kinds}).schema
 
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(spec.order), kind="stable")
+    def per_series(_: tuple, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         x = pdf[spec.value].to_numpy(float, na_value=np.nan)
-        return pdf.assign(**{k: over_windows(x, window, k) for k in kinds})
+        return {k: over_windows(x, window, k) for k in kinds}
 
-    return df.select(*columns).groupBy(*spec.key).applyInPandas(per_series, schema)
+    return over_series(df.select(*columns), schema, per_series, spec)

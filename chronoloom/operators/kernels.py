@@ -16,7 +16,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import EVENTS, SeriesSpec
+from .series import EVENTS, SeriesSpec, over_series
 
 K, EPS = 3.0, 1e-8
 #: Whole windows that a feature in numpy gets at once.
@@ -114,15 +114,14 @@ def array_features(df: DataFrame, features: dict[str, Callable[[np.ndarray], np.
     columns = [*spec.key, *spec.order, spec.value]
     schema = df.select(*columns).withColumns({k: F.lit(0.0) for k in features}).schema
 
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(spec.order), kind="stable")
+    def per_series(_: tuple, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         x = pdf[spec.value].to_numpy(float, na_value=np.nan)
         short = [x[None, : i + 1] for i in range(min(lookback - 1, len(x)))]
         whole = sliding_window_view(x, lookback) if len(x) >= lookback else np.empty((0, lookback))
         rest = [whole[i : i + BLOCK] for i in range(0, len(whole), BLOCK)]
-        return pdf.assign(**{k: np.concatenate([np.reshape(f(a), -1) for a in (*short, *rest)]) for k, f in features.items()})
+        return {k: np.concatenate([np.reshape(f(a), -1) for a in (*short, *rest)]) for k, f in features.items()}
 
-    return df.select(*columns).groupBy(*spec.key).applyInPandas(per_series, schema)
+    return over_series(df.select(*columns), schema, per_series, spec)
 
 
 @dataclass(frozen=True)

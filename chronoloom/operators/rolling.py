@@ -7,6 +7,7 @@ shuffled and sorted once: lags, frames, shifts of frames, fills.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -125,13 +126,28 @@ def _horizon(args: dict) -> int:
     return args["horizon"]
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _spanned(values: Column, f: Callable[[Column, Column, Column], Column]) -> Column:
+    """f(values, least, greatest), each evaluated once."""
+    of = F.struct(values.alias("v"), F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+    return _let(of, lambda m: f(m["v"], m["low"], m["high"]))
+
+
 def histogram_entropy(values: Column, bins: int) -> Column:
     """-sum of h * log2(h + 1e-10) over the densities h of the occupied bins; 0 for equal values."""
-    low, high = F.array_min(values), F.array_max(values)
-    place = F.transform(values, lambda v: F.least(F.floor(F.try_divide(v - low, high - low) * bins), F.lit(bins - 1)))
-    density = lambda b: F.size(F.filter(place, lambda p: p == b)) / (F.size(values) * (high - low) / bins)
-    terms = F.transform(F.array_distinct(place), lambda b: density(b) * F.log2(density(b) + EPS))
-    return F.when(low == high, 0.0).otherwise(-F.aggregate(terms, F.lit(0.0), lambda s, t: s + t))
+
+    def summed(v: Column, low: Column, high: Column) -> Column:
+        place = F.transform(v, lambda a: F.least(F.floor(F.try_divide(a - low, high - low) * bins), F.lit(bins - 1)))
+        density = lambda p, b: F.size(F.filter(p, lambda q: q == b)) / (F.size(p) * (high - low) / bins)
+        term = lambda p, b: _let(density(p, b), lambda d: d * F.log2(d + EPS))
+        total = _let(place, lambda p: -F.aggregate(F.transform(F.array_distinct(p), lambda b: term(p, b)), F.lit(0.0), lambda s, t: s + t))
+        return F.when(low == high, 0.0).otherwise(total)
+
+    return _spanned(values, summed)
 
 
 def box_dimension(values: Column, scales: tuple[int, ...] = (2, 4, 8)) -> Column:
@@ -141,8 +157,11 @@ def box_dimension(values: Column, scales: tuple[int, ...] = (2, 4, 8)) -> Column
     plus the width; a value beyond the last edge isn't counted, one on it belongs to the last box. No occupied box at some
     width gives null.
     """
-    low, high = F.array_min(values), F.array_max(values)
-    counts = [_boxes(values, low, high, s) for s in scales]
+    counted = _spanned(values, lambda v, low, high: F.array(*[_boxes(v, low, high, s) for s in scales]))
+    return _let(counted, lambda c: _slope_of([c[k] for k in range(len(scales))], F.size(values), scales))
+
+
+def _slope_of(counts: list[Column], size: Column, scales: tuple[int, ...]) -> Column:
     logs = [F.when(c > 0, F.ln(F.greatest(c, F.lit(1.0)))) for c in counts]
     inverse = [math.log(1 / s) for s in scales]
     mean = sum(inverse) / len(inverse)
@@ -150,7 +169,7 @@ def box_dimension(values: Column, scales: tuple[int, ...] = (2, 4, 8)) -> Column
     same = counts[0] == counts[1]
     for c in counts[2:]:
         same &= counts[0] == c
-    return F.when(F.size(values) < 4, 1.0).when(same & (counts[0] > 0), 1.0).otherwise(slope)
+    return F.when(size < 4, 1.0).when(same & (counts[0] > 0), 1.0).otherwise(slope)
 
 
 def _boxes(values: Column, low: Column, high: Column, width: int) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -27,3 +32,37 @@ class SeriesSpec:
 
 
 EVENTS = SeriesSpec()
+
+
+def over_series(df: DataFrame, schema: StructType, f: Callable[[tuple, pd.DataFrame], dict[str, np.ndarray]], spec: SeriesSpec = EVENTS) -> DataFrame:
+    """df with the columns that f(key, rows) gives for each series, whose rows come in order; schema is df's with theirs.
+
+    One shuffle by the key and one sort; many series travel in one Arrow batch, which for short ones is much faster than a group each.
+    A series that spans several batches is held until it ends.
+    """
+
+    def whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        series = rows.groupby(list(spec.key), dropna=False, sort=False).ngroup().to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(series)) + 1), len(rows)]
+        made = [f(tuple(rows[k].iloc[a] for k in spec.key), rows.iloc[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        return rows.assign(**{c: np.concatenate([m[c] for m in made]) for c in made[0]})[schema.names]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            if not len(rows):
+                continue
+            last = rows.groupby(list(spec.key), dropna=False, sort=False).ngroup().to_numpy()
+            cut = int(np.searchsorted(last, last[-1]))  # where the batch's last series begins
+            if cut:
+                yield whole([*held, rows.iloc[:cut]])
+                held = []
+            elif held and not held[-1][list(spec.key)].iloc[-1].equals(rows[list(spec.key)].iloc[0]):
+                yield whole(held)
+                held = []
+            held.append(rows.iloc[cut:])
+        if held:
+            yield whole(held)
+
+    return df.repartition(*spec.key).sortWithinPartitions(*spec.key, *spec.order).mapInPandas(run, schema)

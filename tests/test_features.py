@@ -250,3 +250,25 @@ def test_kernel_arrays_by_length(spark, walk):
     x = np.array(walk[0])
     for k, g in f.items():
         np.testing.assert_allclose(column(made, k), [float(g(x[max(0, i - 19) : i + 1])) for i in range(len(x))], rtol=1e-9)
+
+
+def test_series_across_arrow_batches(spark):
+    """Series longer and shorter than a batch, one of them without a key: each is computed whole, in order."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DoubleType
+
+    from chronoloom.operators.series import EVENTS, over_series
+
+    rows = spark.range(200).select(F.when(F.col("id") % 5 > 0, F.when(F.col("id") < 60, F.col("id") % 5).otherwise(1)).alias("series_id"), F.timestamp_seconds(F.lit(1000) - F.col("id")).cast("timestamp_ntz").alias("ts"), F.col("id").alias("event_id"), F.col("id").cast("double").alias("x"))
+    schema = rows.withColumn("total", F.lit(0.0)).schema
+    assert schema["total"].dataType == DoubleType()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = over_series(rows, schema, lambda key, pdf: {"total": pdf["x"].cumsum().to_numpy(float)}, EVENTS).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = rows.toPandas().sort_values("ts")
+    want["total"] = want.groupby("series_id", dropna=False)["x"].cumsum()
+    key = lambda d: d.sort_values("event_id")["total"].tolist()
+    assert key(got) == key(want) and len(got) == 200
