@@ -204,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, spar
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     )
     rows = measured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("quality", F.col("quality").cast("double")), "quality double").select("doc_id", "features", "quality")
-    pdf = rows.toPandas()
+    # one row of each id, however many share it: no more than max_train_rows reach the driver
+    pdf = rows.groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("r")).select("doc_id", "r.*").toPandas()
     if not len(pdf):
         return Trees(), 0.0
     pdf["key"] = pd.util.hash_array(pdf["doc_id"].to_numpy())

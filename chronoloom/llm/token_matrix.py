@@ -79,11 +79,12 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
     return window
 
 
-MANIFEST = "path string, n_rows long, n_pieces long, width int, capacity int, docs binary"
+MANIFEST = "path string, n_rows long, n_pieces long, width int, capacity int, docs binary, unnamed binary"
 
 
 def write(docs: DataFrame, capacity: int = 2048, end: int = END, block: int = 1_000_000, folder: str = FOLDER, out: str | None = None) -> DataFrame:
-    """Write the matrices; the manifest, one row per block, with the doc_id of each segment in ``docs`` (int64, null as the least)."""
+    """Write the matrices; the manifest, one row per block, with the doc_id of each segment in ``docs`` (int64) and
+    in ``unnamed`` whether it is null (a byte)."""
     spark = docs.sparkSession
     target = out or new_path(spark, "matrices")
     width = 2 if end < 1 << 16 else 4
@@ -92,7 +93,7 @@ def write(docs: DataFrame, capacity: int = 2048, end: int = END, block: int = 1_
         from pyarrow import fs
 
         bpe = byte_bpe(folder)
-        pieces: list[tuple[int, int, np.ndarray]] = []
+        pieces: list[tuple[int | None, int, np.ndarray]] = []
         held = 0
 
         def flush() -> pd.DataFrame:
@@ -123,14 +124,14 @@ def write(docs: DataFrame, capacity: int = 2048, end: int = END, block: int = 1_
             for kind, data in ((".ids", matrix), (".segments", np.array(segments, "<i4")), (".resets", np.array(resets, "<i8"))):
                 with store.open_output_stream(f"{base}/{name}{kind}") as f:
                     f.write(data.tobytes())
-            out = [(f"{target}/{name}", len(rows), len(ids), width, capacity, np.array(ids, "<i8").tobytes())]
+            out = [(f"{target}/{name}", len(rows), len(ids), width, capacity, np.array([i or 0 for i in ids], "<i8").tobytes(), bytes(i is None for i in ids))]
             pieces, held = [], 0
-            return pd.DataFrame(out, columns=["path", "n_rows", "n_pieces", "width", "capacity", "docs"])
+            return pd.DataFrame(out, columns=["path", "n_rows", "n_pieces", "width", "capacity", "docs", "unnamed"])
 
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
                 ids = np.append(bpe.ids(text), np.array([end], "<u4")).astype("<u4", copy=False)
-                doc = np.iinfo(np.int64).min if pd.isna(doc) else int(doc)
+                doc = None if pd.isna(doc) else int(doc)
                 pieces += [(doc, s, ids[s : s + capacity]) for s in range(0, len(ids), capacity)]
                 held += len(ids)
                 if held >= block:
@@ -164,7 +165,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         piece += 1
                     at += 1 + flat[at]
                 rows = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "row", "offset"])
-                rows["doc_id"] = rows["doc_id"].astype("Int64").mask(rows["doc_id"] == np.iinfo(np.int64).min)
+                rows["doc_id"] = rows["doc_id"].astype("Int64").mask(np.frombuffer(m.unnamed, np.uint8) > 0)
                 rows.insert(0, "matrix", m.path.rsplit("/", 1)[1])
                 yield rows
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chronoloom.llm import mixing, quality, sharding, warc
 from tests.llm.conftest import frame
@@ -362,3 +363,71 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     from tests.llm.test_tokens import check_pieces, pieces_of
 
     check_pieces([r.asDict() for r in after.collect()], pieces_of(spark.createDataFrame(before, corpus.schema), packing.END))
+
+
+def test_very_long_texts(spark):
+    """A text of three megabytes beside short ones: every operator takes it whole."""
+    import random
+
+    from chronoloom.llm import exact_dedup, near_dedup, packing, token_counts, token_matrix
+    from chronoloom.llm.tokens import byte_bpe
+    from tests.llm.conftest import prose
+
+    rng = random.Random(21)
+    long = " ".join(prose(rng, 4000) for _ in range(150))
+    other = long[: len(long) // 2] + " changed " + long[len(long) // 2 :]
+    assert len(long.encode()) > 3_000_000
+    texts = [(1, long), (2, other), (3, "a short one " * 20), (4, "x" * 3_000_000), (5, None)]
+    docs = frame(spark, [(i, t, "s") for i, t in texts])
+    n_ids = {i: len(byte_bpe().ids(t)) + 1 for i, t in texts}
+    for rows in (packing.pack(docs).groupBy("doc_id").sum("length").collect(), token_matrix.read(token_matrix.write(docs)).groupBy("doc_id").sum("length").collect()):
+        assert {r[0]: r[1] for r in rows} == n_ids
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()}
+    model = token_counts.unigram(f"{token_counts.FOLDER}/piece_bpe_32k.model")
+    assert counts == {i: model.count(t)[0] for i, t in texts}
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    assert classes == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    stats = {r.doc_id: (r.n_words, r.word_chars) for r in quality.apply(docs, quality.Trees(), 0.0).collect()}
+    assert stats == {i: (words(t), sum(map(len, (t or "").split()))) for i, t in texts}
+    assert {r.doc_id for r in exact_dedup.dedup(docs).filter("kept").collect()} == {1, 2, 3, 4, 5}
+    shards = sharding.shard_by_bytes(docs, 3).collect()
+    assert {r.doc_id: r["size"] for r in shards} == {i: len((t or "").encode()) + 8 for i, t in texts}
+    assert {r.doc_id: r["size"] for r in mixing.plan(docs).collect()} == {i: words(t) for i, t in texts}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    read = {r.page_id: r.payload_bytes for r in warc.read(warc.write(warc.with_roles(pages))).collect()}
+    assert read == {i: len((t or "").encode()) for i, t in texts}
+
+
+#: The first columns that each registered query returns, where its contract names them.
+CONTRACT = {
+    "op5_": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
+    "op6_": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
+    "op7_": "page_id:bigint payload_bytes:bigint payload_digest:string record_type:string refers_to:bigint",
+    "op8_": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
+    "op9_": "doc_id:bigint keep_id:bigint group_size:bigint kept:boolean text_sha256:string",
+    "op10_": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
+}
+
+
+def test_registered_queries(spark, corpus, tmp_path):
+    """Every registered query and the pipeline's run, over small tables of their own: the contract's columns, a row per document where it asks for that."""
+    import corpus_pipeline
+    from chronoloom.llm import queries
+
+    docs = corpus.filter("doc_id < 1010 or doc_id > 3000").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("int").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100 + i, i % 2, 0) for i in range(100)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.select(F.col("doc_id").alias("page_id"), F.lit("http://h/").alias("url"), F.col("text").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    n, found = docs.count(), queries.queries()
+    assert [k.split("_")[0] for k in found] == [f"op{i}" for i in range(1, 11)]
+    for name, query in found.items():
+        out = query(spark, str(tmp_path))
+        names = [f"{k}:{v}" for k, v in out.dtypes]
+        for prefix, want in CONTRACT.items():
+            if name.startswith(prefix):
+                assert names[: len(want.split())] == want.split() or set(want.split()) <= set(names), name
+        rows = out.count()
+        assert rows == n if name.split("_")[0] not in ("op3", "op4", "op10") else rows >= n, name
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert packed and {r.doc_id for r in packed} <= {r.doc_id for r in docs.collect()}
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "mixing", "packing"]
