@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
@@ -35,34 +37,50 @@ EVENTS = SeriesSpec()
 
 
 def over_series(df: DataFrame, schema: StructType, f: Callable[[tuple, pd.DataFrame], dict[str, np.ndarray]], spec: SeriesSpec = EVENTS) -> DataFrame:
-    """df with the columns that f(key, rows) gives for each series, whose rows come in order; schema is df's with theirs.
+    """df with the columns of doubles that f(key, rows) gives for each series; f gets the rows in order (NaN for null, as it may give), without the columns of key and
+    order; schema is df's with the new columns at the end.
 
     One shuffle by the key and one sort; many series travel in one Arrow batch, which for short ones is much faster than a group each.
     A series that spans several batches is held until it ends.
     """
-
-    def whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        series = rows.groupby(list(spec.key), dropna=False, sort=False).ngroup().to_numpy()
-        bounds = [0, *(np.flatnonzero(np.diff(series)) + 1), len(rows)]
-        made = [f(tuple(rows[k].iloc[a] for k in spec.key), rows.iloc[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        return rows.assign(**{c: np.concatenate([m[c] for m in made]) for c in made[0]})[schema.names]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for rows in batches:
-            if not len(rows):
+    keys = list(spec.key)
+    names = schema.names[len(df.columns) :]
+    values = [c for c in df.columns if c not in (*spec.key, *spec.order)]
+
+    def starts(rows: pa.Table) -> list[int]:
+        """Where series begin, after the first."""
+        changed = np.zeros(rows.num_rows - 1, bool)
+        for k in keys:
+            a, b = rows[k].slice(1), rows[k].slice(0, rows.num_rows - 1)
+            differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+            changed |= np.asarray(differ)
+        return (np.flatnonzero(changed) + 1).tolist()
+
+    def whole(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(parts).combine_chunks()
+        pdf, bounds = rows.select(values).to_pandas(), [0, *starts(rows), rows.num_rows]
+        made = [f(tuple(rows[k][a].as_py() for k in keys), pdf.iloc[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        for c in names:
+            rows = rows.append_column(c, pa.array(np.concatenate([m[c] for m in made]).astype(float), from_pandas=True))
+        yield from rows.to_batches()
+
+    def key(rows: pa.Table, at: int) -> tuple:
+        return tuple(rows[k][at].as_py() for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not rows.num_rows:
                 continue
-            last = rows.groupby(list(spec.key), dropna=False, sort=False).ngroup().to_numpy()
-            cut = int(np.searchsorted(last, last[-1]))  # where the batch's last series begins
-            if cut:
-                yield whole([*held, rows.iloc[:cut]])
-                held = []
-            elif held and not held[-1][list(spec.key)].iloc[-1].equals(rows[list(spec.key)].iloc[0]):
-                yield whole(held)
+            if held and key(held[-1], -1) != key(rows, 0):
+                yield from whole(held)
                 held = []
-            held.append(rows.iloc[cut:])
+            if found := starts(rows):
+                yield from whole([*held, rows.slice(0, found[-1])])
+                held, rows = [], rows.slice(found[-1])
+            held.append(rows)
         if held:
-            yield whole(held)
+            yield from whole(held)
 
-    return df.repartition(*spec.key).sortWithinPartitions(*spec.key, *spec.order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *spec.order).mapInArrow(run, schema)
