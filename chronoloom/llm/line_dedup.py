@@ -31,14 +31,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_contain, save
+from .common import drop, may_contain, save
 from .links import Tools, link
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DEPTH = 8, 0.8, 8, 3, 4
 #: Options of the pipeline's stage: none, every line that holds a word is compared.
 WHOLE: dict = {}
 #: Words of 64 bits in the sketch of a line that may have a partner.
-WORDS = 16
+WORDS = 32
 #: Lines with one 64-bit hash that may be told apart by a broadcast; n lines give n**2 / 2**65 of them.
 MOST_COLLISIONS = 1_000_000
 
@@ -196,21 +196,24 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     keys = ["id", "check"]
     signed = save(banded(minima(all_lines, keys, bands * rows, shingle), keys, bands, rows), "line-signatures")
     told = apart(signed)
-    found: list[DataFrame] = []
+    found: dict[str, DataFrame] = {}
 
     def tools(ids: DataFrame) -> Tools:
         ids = save(ids, "line-candidates")
         # one more pass over the texts makes both the places of all lines and the texts of those that may be candidates
         marked = may_contain(told(all_lines), "id", ids, "_asked")
         places = save(marked.withColumn("line", F.when(F.col("_asked") & F.col("compared"), F.col("line"))).drop("_asked"), "line-places")
-        found.append(places.drop("line"))
+        found["places"] = places
         texts = save(places.filter("line is not null").select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
         items = save(texts.join(sketched(texts, shingle), "id"), "line-items")
+        drop(texts)
+        found["items"] = items
         return items, similar(items, shingle, similarity), lambda met: linked_blocks(met, shingle, similarity)
 
     comps = link(told(signed).select(F.explode("bands").alias("key"), "id"), tools)
-    places = found[0]
-    classed = save(places.join(comps, "id", "left").withColumn("class_hash", F.coalesce("comp", "id")).drop("comp"), "line-classes")
+    classed = save(found["places"].drop("line").join(comps, "id", "left").withColumn("class_hash", F.coalesce("comp", "id")).drop("comp"), "line-classes")
+    for table in (signed, *found.values()):
+        drop(table)
     first = F.min(F.struct("doc_id", "doc_hash", "line_no")).alias("first")
     groups = classed.filter("compared").groupBy("class_hash").agg(first, F.count("*").alias("n")).filter("n > 1").select("class_hash", "first")
     own = F.struct("doc_id", "doc_hash", "line_no")

@@ -89,4 +89,7 @@ def link(members: DataFrame, tools: Callable[[DataFrame], Tools], block: int = 9
     blocks = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), "nr").select("key", "l", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
     met = blocks.join(gathered(left, "l", "left"), ["key", "l"]).join(gathered(right, "r", "right"), ["key", "r"])
     more = save(compare(met).distinct(), "links")
-    return comps if more.isEmpty() else merged(comps, more)
+    out = comps if more.isEmpty() else merged(comps, more)
+    for table in (ends, active, rest, links, m, open_, more):
+        drop(table)
+    return out
