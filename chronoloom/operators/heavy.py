@@ -80,8 +80,8 @@ KINDS = {
 }
 
 
-def over_windows(x: np.ndarray, window: int, kind: str) -> np.ndarray:
-    """The feature of every trailing window, shorter ones at the start included, filled forward and back."""
+def over_windows(x: np.ndarray, window: int, kind: str, fill: bool = True) -> np.ndarray:
+    """The feature of every trailing window, shorter ones at the start included, filled forward and back unless told not to."""
     f, least = KINDS[kind]
     out = np.full(len(x), np.nan)
     for n in range(least, min(window, len(x) + 1)):
@@ -93,16 +93,16 @@ def over_windows(x: np.ndarray, window: int, kind: str) -> np.ndarray:
         for part in np.array_split(np.flatnonzero(good), 1 + int(good.sum()) * window // CELLS):  # copies of the windows, a few at a time
             if len(part):
                 out[window - 1 + part] = f(views[part])
-    return pd.Series(out).ffill().bfill().to_numpy()
+    return pd.Series(out).ffill().bfill().to_numpy() if fill else out
 
 
-def heavy(df: DataFrame, kinds: list[str], window: int, spec: SeriesSpec = EVENTS) -> DataFrame:
-    """The key, order and value columns of df with one column per kind; one shuffle by the key, one Arrow pass."""
-    columns = [*spec.key, *spec.order, spec.value]
+def heavy(df: DataFrame, kinds: list[str], window: int, spec: SeriesSpec = EVENTS, fill: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """The key, order, value (and ``more``) columns of df with one column per kind; one shuffle by the key, one Arrow pass."""
+    columns = [*spec.key, *spec.order, spec.value, *more]
     schema = df.select(*columns).withColumns({k: F.lit(0.0) for k in kinds}).schema
 
     def per_series(_: tuple, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         x = pdf[spec.value].to_numpy(float, na_value=np.nan)
-        return {k: over_windows(x, window, k) for k in kinds}
+        return {k: over_windows(x, window, k, fill) for k in kinds}
 
     return over_series(df.select(*columns), schema, per_series, spec)

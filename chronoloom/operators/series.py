@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -83,4 +83,4 @@ def over_series(df: DataFrame, schema: StructType, f: Callable[[tuple, pd.DataFr
         if held:
             yield from whole(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *spec.order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *spec.order).mapInArrow(run, StructType([StructField(x.name, x.dataType) for x in schema]))

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.operators import filters, heavy, kernels
 from chronoloom.operators.rolling import Feature, rolling
@@ -189,6 +190,29 @@ def test_long_series_in_chunks(spark, walk):
         rolling_long(placed, [Feature("future_change", args={"horizon": 3})], 10)
 
 
+def test_long_series_ahead_and_in_numpy(spark, walk):
+    """Features that look ahead, detrended ones, numpy's and kernels', chunk by chunk, with gaps longer than a chunk."""
+    from chronoloom.operators.long_series import heavy_long, in_chunks, numbered, rolling_long
+
+    kinds = [
+        Feature("future_change", args={"horizon": 4}), Feature("future_change_vol", args={"horizon": 5}), Feature("detrend", args={"window": 5}),
+        Feature("std", args={"window": 5, "shift": -3}), Feature("zscore", args={"window": 4}),
+    ]
+    holes = [v if i < 20 or i > 45 else None for i, v in enumerate(walk[0])]
+    df = series(spark, walk[0], walk[1], holes, [None] * 30 + walk[0][:40])
+    placed = numbered(df, 7 * 3_600_000)
+    for want, got, names in (
+        (rolling(df, kinds), rolling_long(placed, kinds, 10, 16, ahead=5), [f.alias for f in kinds]),
+        (heavy.heavy(df, ["fft", "entropy_rate"], 12), heavy_long(placed, ["fft", "entropy_rate"], 12, 16).withColumn("event_id", F.col("seq")), ["fft", "entropy_rate"]),
+        (kernels.moments(df, 10.0, 3.0, 12), in_chunks(placed, lambda d, s: kernels.moments(d, 10.0, 3.0, 12, s), 11, 0, 16), ["kern_avg", "kern_var"]),
+    ):
+        for key in range(4):
+            for name in names:
+                np.testing.assert_allclose(column(got, name, key), column(want, name, key), rtol=1e-9, atol=1e-9)
+    with pytest.raises(ValueError, match="longer than a chunk"):
+        rolling_long(placed, kinds, 100, 16, ahead=5)
+
+
 def test_fill_is_linear_in_the_length_of_a_series(spark):
     """One series of 40,000 rows: filling takes no more than twice the time of not filling, give or take a second."""
     import time
