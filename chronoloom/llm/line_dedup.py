@@ -35,8 +35,6 @@ from .common import drop, may_contain, save
 from .links import Tools, link
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DEPTH = 8, 0.8, 8, 3, 4
-#: Options of the pipeline's stage: none, every line that holds a word is compared.
-WHOLE: dict = {}
 #: Words of 64 bits in the sketch of a line that may have a partner.
 WORDS = 32
 #: Lines with one 64-bit hash that may be told apart by a broadcast; n lines give n**2 / 2**65 of them.
