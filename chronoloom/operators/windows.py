@@ -64,10 +64,16 @@ def batch_by_centers(df: DataFrame, centers: DataFrame, lookback_ms: int, lookah
     return rows.groupBy(*spec.key, "center").agg(of("x").alias("x_window"), of("y").alias("y_window"))
 
 
-def contiguous(df: DataFrame, lookback_steps: int, horizon_steps: int, stride: int, step_ms: int, spec: SeriesSpec = EVENTS) -> DataFrame:
+def contiguous(df: DataFrame, lookback_steps: int, horizon_steps: int, stride: int, step_ms: int, spec: SeriesSpec = EVENTS, restart: bool = False) -> DataFrame:
     """Array windows at the centers without a gap: the row lookback_steps before lies exactly so many steps back, the row
-    horizon_steps ahead exactly so many ahead; every stride-th row from the first possible one is a center."""
+    horizon_steps ahead exactly so many ahead; every stride-th row from the first possible one is a center. With ``restart`` the
+    stride begins anew after each gap, at the first row with a whole lookback, so that it skips nothing there."""
     w, ts = spec.w, spec.order[0]
+    if restart:
+        gap = F.coalesce(F.timestamp_diff("MILLISECOND", F.lag(ts).over(w), F.col(ts)) != step_ms, F.lit(False))
+        df = df.withColumn("_gap", gap).withColumn("_run", F.sum(F.col("_gap").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+        out = contiguous(df, lookback_steps, horizon_steps, stride, step_ms, SeriesSpec((*spec.key, "_run"), spec.order, spec.value))
+        return out.drop("_run")
     n = F.row_number().over(w) - 1
     back = F.timestamp_diff("MILLISECOND", F.lag(ts, lookback_steps).over(w), F.col(ts))
     ahead = F.timestamp_diff("MILLISECOND", F.col(ts), F.lead(ts, horizon_steps).over(w))

@@ -95,6 +95,10 @@ def win_dt_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(windows.contiguous(tables.daily_orders(spark, sf_dir), 7, 3, 2, 86_400_000), "day")
 
 
+def win_dt_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(windows.contiguous(tables.daily_orders(spark, sf_dir), 7, 3, 2, 86_400_000, restart=True), "day")
+
+
 def _positional(mode: str, samples: int = 0) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = windows.positional(tables.hourly_grid(spark, sf_dir), 24, 6, mode, samples, 42)
@@ -349,6 +353,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "win_stacked": (win_stacked, sql.pairs([N], 1)),
     "win_dt_contiguous": (win_dt_contiguous, sql.sides(24, 6, "c.hour - back = 24 AND ahead - c.hour = 6 AND (c.seq - 24) % 5 = 0")),
     "win_dt_gapped": (win_dt_gapped, sql.sides(7, 3, "c.day - back = 7 AND ahead - c.day = 3 AND (c.seq - 7) % 2 = 0", sql.DAYS, "day")),
+    "win_dt_restart": (win_dt_restart, sql.sides(7, 3, "c.day - back = 7 AND ahead - c.day = 3 AND (c.place - 7) % 2 = 0", sql.RUNS, "day")),
     "win_segments": (_positional("segments"), sql.sides(24, 6, "c.seq BETWEEN 24 AND c.n - 6 AND (c.seq - 24) % 30 = 0")),
     "win_continuous": (_positional("continuous-output-coverage"), sql.sides(24, 6, "c.seq BETWEEN 24 AND c.n - 6 AND (c.seq - 24) % 6 = 0")),
     "win_random": (_positional("random", 20), sql.random_windows(24, 6, 20, 42)),

@@ -21,6 +21,11 @@ GRID = """g AS (SELECT 0::BIGINT AS series_id, h AS hour, h - mn AS seq, mn, mx,
 DAYS = """g AS (SELECT 0::BIGINT AS series_id, day, row_number() OVER (ORDER BY day) - 1 AS seq, x
   FROM (SELECT floor(epoch(o_orderdate) / 86400)::BIGINT AS day, count(*)::DOUBLE AS x FROM orders GROUP BY 1))"""
 
+#: The same days with their places in a run without a gap.
+RUNS = DAYS.replace("g AS", "all_days AS", 1) + """,
+marked AS (SELECT *, sum(CASE WHEN day - before = 1 THEN 0 ELSE 1 END) OVER (ORDER BY seq) AS run FROM (SELECT *, lag(day) OVER (ORDER BY seq) AS before FROM all_days)),
+g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) - 1 AS place FROM marked)"""
+
 
 def rnd(e: str, digits: int = 6) -> str:
     return f"round({e}, {digits}) + 0.0"
