@@ -55,16 +55,29 @@ def difference(weights: list[int], parts: int) -> list[int]:
     return [part[root(i)] for i in range(len(weights))]
 
 
+def salted(rows: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
+    """rows with ``salt``: null, but for rows of which more than ``limit`` share both id and text; those are dealt by their row_id.
+
+    Only texts with so many rows are looked at; fewer than rows / limit pairs of id and text are broadcast.
+    """
+    texts = groups.filter(F.col("n") > limit).select("text_hash")
+    many = rows.join(F.broadcast(texts), "text_hash", "left_semi").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    hot = F.broadcast(many.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")))
+    same = (F.col("text_hash") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(hot, same, "left").withColumn("salt", F.when(F.col("_text").isNotNull(), F.col("row_id"))).drop("_id", "_text")
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 24, bins: int = 4096, cell_rows: int = 512) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row, with the text's hash as text_hash.
 
-    Slots count each shard's rows in the order of cells (by a hash of the id) and ids in them: the rows of a cell are
-    numbered in one task, the cells of a shard by their counts, so no task sees a whole shard.
+    Slots count each shard's rows in the order of cells (by a hash of the id and the text) and ids in them: the rows of a cell are
+    numbered in one task, the cells of a shard by their counts, so no task sees a whole shard. Rows that share both id and text
+    have one cell, unless there are very many.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = save(
-        docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash")),
+        docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row_id")),
         "shard-rows",
     )
     groups = save(rows.groupBy("text_hash").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
@@ -78,8 +91,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, bins: int = 4096, cell_row
     bins_df = spark.createDataFrame([(k, p) for (k, _), p in zip(binned, part[len(alone) :], strict=True)], "bin int, binned int")
     cells = max(1, (n or 0) // (shards * cell_rows))
     placed = (
-        rows.withColumn("bin", bin_of).join(F.broadcast(own), "text_hash", "left").join(F.broadcast(bins_df), "bin", "left")
-        .select("doc_id", "size", "text_crc32", "text_hash", F.coalesce("own", "binned").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(cells)).alias("cell"))
+        salted(rows, groups, max(cell_rows, (n or 0) // 1000)).withColumn("bin", bin_of).join(F.broadcast(own), "text_hash", "left").join(F.broadcast(bins_df), "bin", "left")
+        .select("doc_id", "size", "text_crc32", "text_hash", F.coalesce("own", "binned").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_hash", "salt"), F.lit(cells)).alias("cell"))
     )
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

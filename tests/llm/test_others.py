@@ -144,6 +144,11 @@ def test_shards(spark, corpus, odd, nothing):
         largest = max(Counter({h: sum(r["size"] for r in got if r.text_hash == h) for h in groups}).values())
         assert max(sums.values()) <= max(largest, sum(sums.values()) / shards * 1.2)
     assert sharding.shard_by_bytes(nothing).count() == 0
+    same = frame(spark, [(7, "the same", "s")] * 300 + [(None, "the same", "s")] * 100 + [(8, "the same", "s"), (9, "another", "s")])
+    got = sharding.shard_by_bytes(same, 2, cell_rows=4).collect()
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert len(got) == 402 and len({r.shard for r in got if r.text_hash == got[0].text_hash}) == 1
 
 
 def pages(spark, rows):
