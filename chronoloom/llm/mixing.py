@@ -31,7 +31,7 @@ FACTORS = ((1.4, 1.0, 0.6), (1.0, 1.0, 1.0), (0.6, 1.0, 1.4))
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, rank, weight and target, from the rows' source and size.
 
-    The windows run over one row per source.
+    The windows run over one row per source, in one task: a hundred million sources are some gigabytes, which it sorts on disk.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1

@@ -10,7 +10,7 @@ The vocabulary is that of a sentencepiece file. Its own scores are merge ranks,
 score of Zipf's law, -ln(r * H), H being the harmonic sum; ``scores="file"`` takes the scores of the file.
 
 A text is split before each space as the metaspace rule does (a leading space is added); each part is a Viterbi problem
-of its own, and each Python worker remembers the results of up to ``MEMO`` parts of up to ``SHORT`` characters. Only the last ``longest`` places of a part
+of its own, and each Python worker remembers the results of up to twice ``MEMO`` parts of up to ``SHORT`` characters. Only the last ``longest`` places of a part
 are kept, so a part of any length takes little memory.
 
 Defined results: a null or empty text has 0 tokens. Repeated rows are counted each. An empty table gives an empty result.
@@ -30,7 +30,7 @@ from .common import as_long, as_text
 from .tokens import FOLDER
 
 SPACE_MARK = "▁"
-MEMO, SHORT = 500_000, 64
+MEMO, SHORT = 400_000, 64
 #: Fixed value: what the score of an unknown character lies below the lowest score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
 
@@ -59,6 +59,7 @@ class Unigram:
         self.unknown = min(score for _, score in vocab) - UNKNOWN_PENALTY
         self.byte_fallback = byte_fallback
         self.memo: dict[str, tuple[int, float]] = {}
+        self.older: dict[str, tuple[int, float]] = {}
 
     def part(self, s: str) -> tuple[int, float]:
         """Pieces and score of the best path over one part."""
@@ -93,6 +94,18 @@ class Unigram:
             close(gap, [])
         return pieces[len(s) % size], score[len(s) % size]
 
+    def remembered(self, s: str) -> tuple[int, float]:
+        """The same for a part without its mark. A full memo becomes the older half, from which parts that come again are taken over."""
+        if (got := self.memo.get(s)) is not None:
+            return got
+        if (got := self.older.get(s)) is None:
+            got = self.part(SPACE_MARK + s)
+        if len(s) <= SHORT:
+            if len(self.memo) >= MEMO:
+                self.older, self.memo = self.memo, {}
+            self.memo[s] = got
+        return got
+
     def count(self, text: str | None) -> tuple[int, float]:
         """Tokens and score of a text."""
         if not text:
@@ -104,11 +117,7 @@ class Unigram:
         for part in marked.split(SPACE_MARK)[1:]:
             got = memo.get(part)
             if got is None:
-                got = self.part(SPACE_MARK + part)
-                if len(part) <= SHORT:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = got
+                got, memo = self.remembered(part), self.memo
             n += got[0]
             total += got[1]
         return n, total

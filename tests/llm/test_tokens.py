@@ -174,3 +174,16 @@ def test_best_fit_decreasing(lengths):
 
 def test_odd_rows_are_there():
     assert any(t is None for _, t, _ in ODD)
+
+
+def test_memos_roll_over(models, monkeypatch):
+    """With room for three pieces or parts the results are those of a large memo."""
+    from chronoloom.llm import tokens
+
+    texts = ["a b c d e a b c f g a", "one two  three four five one two", "ein zwei drei " * 5 + "y" * 200, "a b c d e f g h a b"]
+    want = [(tokens.ByteBPE().ids(t).tolist(), token_counts.Unigram([("▁", -2.0), ("a", -1.0), ("▁a", -1.5), ("e", -3.0)]).count(t)) for t in texts]
+    monkeypatch.setattr(tokens, "MEMO", 3)
+    monkeypatch.setattr(token_counts, "MEMO", 3)
+    bpe, unigram = tokens.ByteBPE(), token_counts.Unigram([("▁", -2.0), ("a", -1.0), ("▁a", -1.5), ("e", -3.0)])
+    assert [(bpe.ids(t).tolist(), unigram.count(t)) for t in texts] == want
+    assert len(bpe.rest) <= 3 >= len(unigram.memo) and bpe.rest.older and unigram.older
