@@ -7,7 +7,7 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +120,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, parts: int
     return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"_g.{c}").alias(c) for c in others])
 
 
+#: First hashes that may stand for several things; n things give n**2 / 2**65 of them.
+MOST_COLLISIONS = 1_000_000
+
+
+def apart(seen: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Gives things that share their first hash ids of their own: a function of rows with id and check, two hashes, which drops check.
+
+    seen has the ids and checks of all of them. The ids concerned are few, 270 of 10**11, and are broadcast; more than
+    MOST_COLLISIONS of them is an error.
+    """
+    doubled = save(seen.groupBy("id").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a < b").select(F.col("id").alias("_doubled")), "collisions")
+    n = doubled.count()
+    if n > MOST_COLLISIONS:
+        raise ValueError(f"{n} hashes stand for several things each")
+
+    def told(rows: DataFrame) -> DataFrame:
+        if not n:
+            return rows.drop("check")
+        own = F.when(F.col("_doubled").isNotNull(), F.xxhash64("id", "check")).otherwise(F.col("id"))
+        return rows.join(F.broadcast(doubled), F.col("id") == F.col("_doubled"), "left").withColumn("id", own).drop("check", "_doubled")
+
+    return told
+
+
 def may_contain(rows: DataFrame, key: str, ids: DataFrame, name: str, most_bits: int = 1 << 25) -> DataFrame:
     """rows with one more column, whether their key (a long) may be among the one column of ids, which should be saved; a few others may too.
 

@@ -17,7 +17,7 @@ Lines that share a band are candidates. A bitmap of their shingles rules out mos
 else (``may_be_alike``); of the others the Jaccard similarity is found exactly, over all their shingles, which are made anew from the
 lines: those take less room in a shuffle.
 
-A line is identified by a 64-bit hash; a second one of 64 bits tells lines with the same first hash apart (see ``apart``).
+A line is identified by a 64-bit hash; a second one of 64 bits tells lines with the same first hash apart (``common.apart``).
 
 Defined results: a null text counts as empty. Blank lines (nothing but ASCII white space) are kept always; every other line is compared,
 however short. Rows with the same id and text count as one document and get one verdict. An empty table gives an empty result.
@@ -31,14 +31,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, may_contain, save
+from .common import apart, drop, may_contain, save
 from .links import Tools, link
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DEPTH = 8, 0.8, 8, 3, 4
 #: Words of 64 bits in the sketch of a line that may have a partner.
 WORDS = 32
-#: Lines with one 64-bit hash that may be told apart by a broadcast; n lines give n**2 / 2**65 of them.
-MOST_COLLISIONS = 1_000_000
 
 
 def line_hash(line: Column) -> Column:
@@ -131,25 +129,6 @@ def banded(least: DataFrame, keys: list[str], bands: int, per_band: int) -> Data
     return least.select(*keys, F.when(whole, dense).otherwise(F.array(*[sparse(j) for j in range(bands)])).alias("bands"))
 
 
-def apart(signed: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Gives lines that share their first hash ids of their own: a function of rows with id and check, which drops check.
-
-    The ids concerned are few, 270 of 10**11 lines, and are broadcast; more than MOST_COLLISIONS of them is an error.
-    """
-    doubled = save(signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_doubled")), "line-collisions")
-    n = doubled.count()
-    if n > MOST_COLLISIONS:
-        raise ValueError(f"{n} hashes stand for several lines each")
-
-    def told(rows: DataFrame) -> DataFrame:
-        if not n:
-            return rows.drop("check")
-        own = F.when(F.col("_doubled").isNotNull(), F.xxhash64("id", "check")).otherwise(F.col("id"))
-        return rows.join(F.broadcast(doubled), F.col("id") == F.col("_doubled"), "left").withColumn("id", own).drop("check", "_doubled")
-
-    return told
-
-
 def _alike(common: Column, a: Column, b: Column, similarity: float) -> Column:
     return common >= similarity * (a + b - common)
 

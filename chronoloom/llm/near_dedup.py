@@ -14,7 +14,8 @@ Jaccard similarity each. Its random numbers come from fixed tables that the shin
 agree in a band are candidates (at 0.8, 10 bands of 3 find a pair with probability 0.999); links.link chooses which of them to
 compare, by the exact weighted Jaccard similarity of the whole texts. Documents linked by a chain form a class.
 
-Rows with equal texts meet by a 64-bit hash before any comparison. Defined results: a null text counts as empty; texts without a word
+Rows with equal texts meet by a 64-bit hash before any comparison; texts that share it are told apart by a second one
+(``common.apart``). Defined results: a null text counts as empty; texts without a word
 have no shingle and are alone, but equal texts are always of one class. The class id is the least doc_id of the class, null if
 it has none. Repeated rows share their class. An empty table gives an empty result. Other columns are ignored or kept.
 """
@@ -24,7 +25,7 @@ from __future__ import annotations
 import functools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +33,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, as_text, join_groups, might_contain, save, settings
+from .common import apart, as_long, as_text, join_groups, might_contain, save, settings
 from .links import Tools, link
 
 FEATURES = 1 << 20
@@ -268,27 +269,39 @@ class Weighted:
         return [(min(left[r][2], right[k][2]), max(left[r][2], right[k][2])) for r, k in found if left[r][1].isdisjoint(right[k][1])]
 
 
-def text_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
-    """doc_id, text_hash and class_hash of every row; saved."""
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def identified(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns with id and check, two hashes of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(*columns, text.alias("text"), text_hash(text).alias("id"), F.xxhash64(F.lit("check"), text).alias("check"))
+
+
+def text_classes(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """doc_id, text_hash and class_hash of every row, saved; and what makes text_hash of rows with id and check, see common.apart."""
     # a row may be two blocks of texts: small batches bound what the JVM and a worker hold at once
     with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}):
         return _text_classes(docs, o)
 
 
-def _text_classes(docs: DataFrame, o: Options) -> DataFrame:
+def _text_classes(docs: DataFrame, o: Options) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    hashed = docs.select(as_text("doc_id"), text.alias("text"), F.xxhash64(text).alias("id"))
+    hashed = identified(docs, as_text("doc_id"))
     weights = spark.sparkContext.broadcast(idf(*document_frequencies(docs, o.shingle, o.features)))  # 4 bytes a slot
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             # a batch's copies of one text are signed once
-            first = ~pdf["id"].duplicated().to_numpy()
-            made = dict(zip(pdf["id"][first], _bands(pdf["text"][first], weights.value, o), strict=True))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "id": pdf["id"], "bands": [made[i] for i in pdf["id"]]})
-
-    rows = save(as_long(hashed.mapInPandas(banded, "doc_id string, id long, bands array<long>"), "doc_id"), "near-signatures")
+            first = ~pdf[["id", "check"]].duplicated().to_numpy()
+            keys = list(zip(pdf["id"], pdf["check"], strict=True))
+            made = dict(zip((k for k, f in zip(keys, first, strict=True) if f), _bands(pdf["text"][first], weights.value, o), strict=True))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "id": pdf["id"], "check": pdf["check"], "bands": [made[k] for k in keys]})
+
+    signed = save(as_long(hashed.mapInPandas(banded, "doc_id string, id long, check long, bands array<long>"), "doc_id"), "near-signatures")
+    told = apart(signed)
+    rows = told(signed)
     members = rows.filter("bands is not null").groupBy("id").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "id")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,7 +311,7 @@ def _text_classes(docs: DataFrame, o: Options) -> DataFrame:
     def tools(ids: DataFrame) -> Tools:
         ids = save(ids, "near-candidates")
         # compressed before they are shuffled, since a candidate's text travels several times
-        asked = might_contain(hashed.select("id", "text"), "id", ids).mapInPandas(packed, "id long, text binary")
+        asked = might_contain(told(hashed.select("id", "check", "text")), "id", ids).mapInPandas(packed, "id long, text binary")
         texts = save(asked.join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
 
         @F.pandas_udf("boolean")
@@ -322,12 +335,13 @@ def _text_classes(docs: DataFrame, o: Options) -> DataFrame:
         return texts, verify, lambda met: met.select("left", "right").mapInArrow(compared, "a long, b long")
 
     comps = link(members, tools)
-    return save(rows.drop("bands").join(comps, "id", "left").select("doc_id", F.col("id").alias("text_hash"), F.coalesce("comp", "id").alias("class_hash")), "near-classes")
+    classes = rows.drop("bands").join(comps, "id", "left").select("doc_id", F.col("id").alias("text_hash"), F.coalesce("comp", "id").alias("class_hash"))
+    return save(classes, "near-classes"), told
 
 
 def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size and kept (true for one row with that id)."""
-    rows = text_classes(docs, o).withColumn("k", F.col("class_hash").cast("string")).withColumn("row_id", F.monotonically_increasing_id())
+    rows = text_classes(docs, o)[0].withColumn("k", F.col("class_hash").cast("string")).withColumn("row_id", F.monotonically_increasing_id())
     rows = save(rows, "near-rows")
     groups = save(rows.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first"), F.count("*").alias("class_size")), "near-groups")
     out = join_groups(rows, groups, "k", "class_size")
@@ -336,9 +350,9 @@ def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
 def dedup(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """The documents with all their columns, one of each class: the one with the least id, nulls last."""
-    rows = text_classes(docs, o)
+    rows, told = text_classes(docs, o)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     keep = rows.groupBy("class_hash").agg(first).select(F.col("first.doc_id").alias("_keep"), F.col("first.text_hash").alias("_hash"))
-    full = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "doc_id")
+    full = told(identified(docs, F.struct("*").alias("row"), F.col("doc_id")).drop("text")).withColumnRenamed("id", "own")
     same = (F.col("own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
     return full.join(keep, same, "left_semi").dropDuplicates(["own"]).select("row.*")

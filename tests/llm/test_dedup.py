@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import exact_dedup, line_dedup, links, near_dedup
+from chronoloom.llm import common, exact_dedup, line_dedup, links, near_dedup
 from tests.llm.conftest import Sets, edited, frame, prose
 
 
@@ -313,11 +313,21 @@ def test_lines_with_one_hash_are_told_apart(spark, corpus, monkeypatch):
     want = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_classes(docs).collect()}
     monkeypatch.setattr(line_dedup, "line_hash", lambda line: F.pmod(F.xxhash64(line), F.lit(50)))
     assert {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_classes(docs).collect()} == want
-    monkeypatch.setattr(line_dedup, "MOST_COLLISIONS", 10)
+    monkeypatch.setattr(common, "MOST_COLLISIONS", 10)
     with pytest.raises(ValueError, match="hashes stand for"):
         line_dedup.line_classes(docs)
 
 
+def test_texts_with_one_hash_are_told_apart(spark, corpus, monkeypatch):
+    """The same for documents: classes and what stays don't change."""
+    docs = corpus.filter("doc_id >= 1000 and doc_id < 2040")
+    classes = lambda: sorted(map(tuple, near_dedup.near_classes(docs).drop("kept").collect()))
+    texts = lambda: sorted(r.text for r in near_dedup.dedup(docs).collect())
+    want = classes(), texts()
+    monkeypatch.setattr(near_dedup, "text_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(20)))
+    assert (classes(), texts()) == want
+
+
 def test_very_long_line(spark):
     """Lines of a megabyte, one of them with characters beyond the first plane."""
     import random
