@@ -98,6 +98,7 @@ def document_frequencies(docs: DataFrame, shingle: int, features: int) -> tuple[
             for text in pdf["text"]:
                 total[np.unique(slots(shingled(text, shingle)[0], features))] += 1
                 n += 1
+        _words.clear()  # a worker may go on to other stages
         if n:
             yield pd.DataFrame([(c // CHUNK, n if c == 0 else 0, zlib.compress(total[c : c + CHUNK].astype("<i8").tobytes(), 1)) for c in range(0, features, CHUNK)], columns=["chunk", "n", "counts"])
 
@@ -298,6 +299,7 @@ def _text_classes(docs: DataFrame, o: Options) -> tuple[DataFrame, Callable[[Dat
             keys = list(zip(pdf["id"], pdf["check"], strict=True))
             made = dict(zip((k for k, f in zip(keys, first, strict=True) if f), _bands(pdf["text"][first], weights.value, o), strict=True))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "id": pdf["id"], "check": pdf["check"], "bands": [made[k] for k in keys]})
+        _words.clear()
 
     signed = save(as_long(hashed.mapInPandas(banded, "doc_id string, id long, check long, bands array<long>"), "doc_id"), "near-signatures")
     told = apart(signed)

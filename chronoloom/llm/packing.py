@@ -36,14 +36,32 @@ END = 1
 def difference(lengths: np.ndarray, m: int) -> np.ndarray:
     """The window, 0 to m-1, of each length, by Karmarkar-Karp differencing into m windows.
 
-    A partial partition is its non-empty windows' sums in falling order, each with one member; the others are empty.
+    A partial partition is its non-empty windows' sums in falling order, each with one member; the others are empty. While single
+    lengths are the two largest spreads they only stand side by side, so a run of them, up to m, is put together at once.
     """
-    parent = np.arange(len(lengths))
-    tie = count()
-    heap = [(-int(w), next(tie), np.array([w]), np.array([i])) for i, w in enumerate(lengths)]
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        (_, _, a, i), (_, _, b, j) = heapq.heappop(heap), heapq.heappop(heap)
+    n = len(lengths)
+    if m == 1:
+        return np.zeros(n, np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    single, parent, tie, at = lengths[order].astype(np.int64), np.arange(n), count(), 0
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+    def push(sums: np.ndarray, members: np.ndarray) -> None:
+        spread = int(sums[0] - (sums[-1] if len(sums) == m else 0))
+        heapq.heappush(heap, (-spread, next(tie), sums, members))
+
+    while at < n or len(heap) > 1:
+        top = -heap[0][0] if heap else -1
+        if at < n and single[at] > top:
+            end = min(at + m, at + int(np.searchsorted(-single[at:], -top, "right")))
+            push(single[at:end], order[at:end])
+            at = end
+            continue
+        _, _, a, i = heapq.heappop(heap)
+        if at < n and (not heap or single[at] >= -heap[0][0]):
+            b, j, at = single[at : at + 1], order[at : at + 1], at + 1
+        else:
+            _, _, b, j = heapq.heappop(heap)
         if len(a) + len(b) <= m:
             sums, members = np.concatenate([a, b]), np.concatenate([i, j])
         else:
@@ -54,16 +72,14 @@ def difference(lengths: np.ndarray, m: int) -> np.ndarray:
             both = met >= 0
             parent[j[::-1][both]] = met[both]
             members[m - len(b) :] = np.where(both, met, j[::-1])
-        order = np.argsort(-sums, kind="stable")
-        sums, members = sums[order], members[order]
-        spread = int(sums[0] - (sums[-1] if len(sums) == m else 0))
-        heapq.heappush(heap, (-spread, next(tie), sums, members))
+        by = np.argsort(-sums, kind="stable")
+        push(sums[by], members[by])
     while True:  # each member to its window's first
         up = parent[parent]
         if (up == parent).all():
             break
         parent = up
-    window = np.full(len(lengths), -1)
+    window = np.full(n, -1)
     window[heap[0][3]] = np.arange(len(heap[0][3]))
     return window[parent]
 

@@ -21,7 +21,7 @@ import public_tokenizers
 #: Where the vocabulary files of public tokenizers are, unless another folder is given.
 FOLDER = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 END_OF_TEXT = "<|endoftext|>"
-MEMO, SHORT = 350_000, 64
+MEMO, SHORT = 160_000, 64
 #: Fixed value: how this vocabulary's pre-tokenizer splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
