@@ -379,7 +379,7 @@ def test_very_long_texts(spark):
     from tests.llm.conftest import prose
 
     rng = random.Random(21)
-    long = " ".join(prose(rng, 4000) for _ in range(150))
+    long = " ".join(prose(rng, 4000) for _ in range(170))
     other = long[: len(long) // 2] + " changed " + long[len(long) // 2 :]
     assert len(long.encode()) > 3_000_000
     texts = [(1, long), (2, other), (3, "a short one " * 20), (4, "x" * 3_000_000), (5, None)]
