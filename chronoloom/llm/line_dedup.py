@@ -181,7 +181,7 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
         marked = may_contain(told(all_lines), "id", ids, "_asked")
         places = save(marked.withColumn("line", F.when(F.col("_asked") & F.col("compared"), F.col("line"))).drop("_asked"), "line-places")
         found["places"] = places
-        texts = save(places.filter("line is not null").select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+        texts = save(places.filter("line is not null").select("id", "line").dropDuplicates(["id"]).join(ids, "id", "left_semi"), "line-texts")
         items = save(texts.join(sketched(texts, shingle), "id"), "line-items")
         drop(texts)
         found["items"] = items

@@ -314,7 +314,7 @@ def _text_classes(docs: DataFrame, o: Options) -> tuple[DataFrame, Callable[[Dat
         ids = save(ids, "near-candidates")
         # compressed before they are shuffled, since a candidate's text travels several times
         asked = might_contain(told(hashed.select("id", "check", "text")), "id", ids).mapInPandas(packed, "id long, text binary")
-        texts = save(asked.join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+        texts = save(asked.dropDuplicates(["id"]).join(ids, "id", "left_semi"), "near-texts")
 
         @F.pandas_udf("boolean")
         def near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
