@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import digest
@@ -28,6 +28,13 @@ def features(panel: DataFrame, inputs: list[str], slices: int, shortest: int, lo
     return scalers.standardise(cut, inputs, panel).join(symbols, "symbol_id").crossJoin(F.broadcast(size))
 
 
+def one_hot(values: Column, at: Column, size: Column) -> Column:
+    """The values and behind them ``size`` numbers, 1.0 at ``at`` (none where it is null) and else 0.0, as one array."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    hot = F.concat(zeros(at), F.array(F.lit(1.0)), zeros(size - at - 1))
+    return F.concat(values, F.when(at.isNull(), zeros(size)).otherwise(hot))
+
+
 def prepared(panel: DataFrame, inputs: list[str], target: str, slices: int, shortest: int, longest: int, seed: int = 0, most_symbols: int = 10_000) -> DataFrame:
     """Random slices of a panel: inputs imputed and standardised by the whole panel, and the symbol one-hot, as one array ``row``; the target as ``y_value``.
 
@@ -35,18 +42,24 @@ def prepared(panel: DataFrame, inputs: list[str], target: str, slices: int, shor
     """
     cut = features(panel, inputs, slices, shortest, longest, inputs, seed)
     width = F.when(F.col("hot_size") <= most_symbols, F.col("hot_size")).otherwise(F.raise_error(F.lit("too many symbols for a dense one-hot array")).cast("long"))
-    hot = F.transform(F.sequence(F.lit(1).cast("long"), width), lambda i: (i == F.col("hot_at") + 1).cast("double"))
-    row = F.concat(F.array(*[F.coalesce(c, F.lit(0.0)) for c in inputs]), hot)
+    row = one_hot(F.array(*[F.coalesce(c, F.lit(0.0)) for c in inputs]), F.col("hot_at"), width)
     return cut.select("sample_id", "date_id", "symbol_id", "time_id", row.alias("row"), F.coalesce(target, F.lit(0.0)).alias("y_value"))
 
 
 def lazy_epoch(panel: DataFrame, inputs: list[str], target: str, lookbacks: list[int], batch_size: int, slices: int = 32, shortest: int = 8, longest: int = 128, seed: int = 0) -> DataFrame:
-    """One epoch over a panel: each slice is a segment of windows for each lookback that it holds."""
-    rows = prepared(panel, inputs, target, slices, shortest, longest, seed)
+    """One epoch over a panel: each slice is a segment of windows for each lookback that it holds.
+
+    The symbol is one-hot in sparse form until the windows are in their batches; the last projection makes their arrays, of any number of symbols.
+    """
+    row = F.struct(F.array(*[F.coalesce(c, F.lit(0.0)) for c in inputs]).alias("values"), "hot_at", "hot_size")
+    rows = features(panel, inputs, slices, shortest, longest, inputs, seed).select("sample_id", "time_id", row.alias("row"), F.coalesce(target, F.lit(0.0)).alias("y_value"))
     spec = SeriesSpec(("sample_id",), ("time_id",), "row")
     items = windows.pairs(rows, lookbacks, False, "y_value", spec)
     items = items.withColumn("seg_key", F.concat_ws("/", "sample_id", "lookback")).withColumnRenamed("item", "item_no")
-    return segments.batches(items, batch_size, seed=seed, zero=F.transform(F.element_at("x_window", 1), lambda _: F.lit(0.0)))
+    first = F.element_at("x_window", 1)
+    zero = F.struct(F.transform(first["values"], lambda _: F.lit(0.0)).alias("values"), F.lit(None).cast("long").alias("hot_at"), first["hot_size"].alias("hot_size"))
+    out = segments.batches(items, batch_size, seed=seed, zero=zero)
+    return out.withColumn("x_window", F.transform("x_window", lambda r: one_hot(r["values"], r["hot_at"], r["hot_size"])))
 
 
 def test_segment(panel: DataFrame, inputs: list[str], target: str, lookback: int, seed: int = 0) -> DataFrame:

@@ -226,6 +226,24 @@ def test_epochs(spark):
     assert len(lazy) > 0 and not lazy.duplicated(["batch_no", "lane"]).any() and all(len(w) == m for w, m in zip(lazy["x_window"], lazy["max_lookback"]))
 
 
+def test_panel_epoch_of_many_symbols(spark):
+    """More than 10,000 symbols: each window row is as wide as there are symbols, with one 1; padding is 0."""
+    from chronoloom.operators import trainers
+
+    symbols = 10_500
+    panel_ = spark.range(symbols * 6).selectExpr("0L as date_id", "id div 6 as symbol_id", "id % 6 as time_id", "cast(id % 6 as double) as feature", "cast(id % 6 as double) as responder")
+    out = trainers.lazy_epoch(panel_, ["feature"], "responder", [1, 2], 2, 4, 4, 6, 1).toPandas()
+    assert set(out["lookback"]) == {1, 2}
+    places = {}
+    for r in out.itertuples():
+        assert len(r.x_window) == r.max_lookback and all(len(v) == 1 + symbols for v in r.x_window)
+        held = [np.flatnonzero(np.asarray(v)[1:] == 1.0).tolist() for v in r.x_window[: r.lookback]]
+        assert all(len(h) == 1 for h in held) and all(sum(v[1:]) == 1.0 for v in r.x_window[: r.lookback])
+        assert all(not np.any(v) for v in r.x_window[r.lookback :])
+        places.setdefault(r.sample_id, set()).update(h[0] for h in held)
+    assert len(places) == 4 and all(len(p) == 1 for p in places.values())
+
+
 def test_keys_are_numbered_without_gaps(spark):
     keys = spark.range(500).select((F.col("id") % 50).alias("a"), F.floor(F.col("id") / 100).alias("b"))
     got = panel.numbered(keys, ["a", "b"], "n").toPandas()
