@@ -72,7 +72,9 @@ def rolling(df: DataFrame, features: list[Feature], spec: SeriesSpec = EVENTS, f
         elif f.kind == "price_ratio":
             frames[out] = F.try_divide(x, F.col(a["base"]) + EPS)
         elif f.kind == "log_relative":
-            frames[out], filled = F.ln(F.try_divide(x, F.col(a["base"]) + a.get("eps", 1e-4))), False
+            ratio = F.try_divide(x, F.col(a["base"]) + a.get("eps", 1e-4))
+            # Spark's logarithm of 0 is null; here it is -infinity, and missing only where the ratio is missing or negative
+            frames[out], filled = F.when(ratio == 0, F.lit(-math.inf)).otherwise(F.ln(ratio)), False
         elif f.kind == "log_returns":
             eps = a.get("eps", 1e-4)
             ratio = F.ln(F.abs(F.try_divide(x, F.lag(x).over(w) + eps)) + eps)

@@ -47,6 +47,13 @@ def test_against_pandas(spark, walk):
     np.testing.assert_allclose(column(made, "autocorr")[4:], want.to_numpy()[4:], rtol=1e-6, atol=1e-9)
 
 
+def test_log_relative_of_zero_and_below(spark):
+    """As numpy has it: -infinity for a ratio of 0; missing for a negative one, a missing value and the first row."""
+    made = rolling(series(spark, [2.0, 0.0, 3.0, None, 4.0, -1.0, 5.0]).selectExpr("*", "lag(x) over (partition by series_id order by event_id) as base"), [Feature("log_relative", args={"base": "base"})])
+    want = [np.nan, -np.inf, np.log(3 / 1e-4), np.nan, np.nan, np.nan, np.nan]
+    np.testing.assert_allclose(column(made, "log_relative"), want, rtol=1e-12)
+
+
 def test_edges(spark):
     kinds = [Feature("mean", args={"window": 4}), Feature("rsi", args={"window": 4}), Feature("slope", args={"window": 4}), Feature("skew", args={"window": 4}), Feature("autocorr", args={"window": 4}), Feature("entropy", args={"window": 4}), Feature("fractal", args={"window": 4}), Feature("future_change", args={"horizon": 3}), Feature("detrend", args={"window": 4}), Feature("log_returns")]
     made = rolling(series(spark, [5.0], [3.0] * 6, [None] * 3), kinds)
