@@ -80,38 +80,47 @@ def at_places(line: Column, shingle: int) -> Column:
     return F.array_distinct(F.when(_wide(line), wide).otherwise(narrow))
 
 
+def places_of(n: Column, shingle: int) -> Column:
+    """The number of shingles of a line of n characters."""
+    return F.greatest(n - (shingle - 1), F.lit(1))
+
+
 def shingled(rows: DataFrame, keys: list[str], shingle: int) -> DataFrame:
     """keys, places (the number of shingles) and h, a shingle's hash; one row per shingle, in generated code."""
     encoded = rows.select(*keys, "line", F.length("line").alias("n"), F.encode("line", "UTF-16BE").alias("narrow"))
     encoded = encoded.select(*keys, "n", "line", "narrow", (F.octet_length("narrow") > 2 * F.col("n")).alias("wide"))
-    places = F.greatest(F.col("n") - (shingle - 1), F.lit(1))
-    encoded = encoded.select(*keys, "wide", places.alias("places"), F.when(F.col("wide"), F.encode("line", "UTF-32")).otherwise(F.col("narrow")).alias("b"))
+    encoded = encoded.select(*keys, "wide", places_of(F.col("n"), shingle).alias("places"), F.when(F.col("wide"), F.encode("line", "UTF-32")).otherwise(F.col("narrow")).alias("b"))
     unit = F.when(F.col("wide"), 4).otherwise(2)
     at = encoded.select(*keys, "b", "wide", "places", F.explode(F.sequence(F.lit(1), (F.col("places") - 1) * unit + 1, unit)).alias("i"))
     piece = F.when(F.col("wide"), _narrowed(F.substring("b", F.col("i"), F.lit(4 * shingle)))).otherwise(F.substring("b", F.col("i"), F.lit(2 * shingle)))
-    return at.select(*keys, "places", F.xxhash64(piece).alias("h"))
+    # the condition always holds; what isn't deterministic keeps filters above, which would hash each piece a second time
+    return at.select(*keys, "places", F.when(F.spark_partition_id() >= 0, F.xxhash64(piece)).otherwise(F.lit(0)).alias("h"))
 
 
 def minima(rows: DataFrame, keys: list[str], bins: int, shingle: int) -> DataFrame:
     """keys and m0, m1 and so on, the least hashes in the bins or null, of the lines that are compared; one row per line."""
-    limit = F.lit(float((1 << 32) * DEPTH * bins)) / F.col("places")
+    limit = F.ceil(F.lit(float((1 << 32) * DEPTH * bins)) / places_of(F.length("line"), shingle))  # found once a line
     bin_of = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * bins, 32)
-    dealt = shingled(rows.filter("compared"), keys, shingle).select(*keys, "places", bin_of.alias("bin"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
-    return dealt.filter(F.col("v") < limit).groupBy(*keys).agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(bins)])
+    limited = rows.filter("compared").withColumn("limit", limit)
+    dealt = shingled(limited, [*keys, "limit"], shingle).select(*keys, "limit", bin_of.alias("bin"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
+    return dealt.filter("v < limit").groupBy(*keys).agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(bins)])
 
 
 def sketched(texts: DataFrame, shingle: int) -> DataFrame:
     """id, places and s0, s1 and so on, the bitmap of the line's shingles dealt to 64 * WORDS slots."""
     slots = shingled(texts, ["id"], shingle).select("id", "places", F.pmod("h", F.lit(64 * WORDS)).cast("int").alias("slot"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)))
-    return slots.groupBy("id", "places").agg(*[F.bit_or(F.when(F.shiftright("slot", 6) == w, bit)).alias(f"s{w}") for w in range(WORDS)]).na.fill(0)
+    # a few words at a time, as all are written at each row
+    some = slots.groupBy("id", "places", F.shiftright("slot", 6 + 2).alias("four")).agg(*[F.bit_or(F.when(F.shiftright("slot", 6).bitwiseAND(F.lit(3)) == w, bit)).alias(f"w{w}") for w in range(4)])
+    return some.groupBy("id", "places").agg(*[F.max(F.when(F.col("four") == w // 4, F.col(f"w{w % 4}"))).alias(f"s{w}") for w in range(WORDS)]).na.fill(0)
 
 
 def may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
     """False only where the similarity is too low for certain: the slots in which two sketches differ are at most the shingles in
-    which the lines differ, and those may be (1 - t) / (1 + t) of both lines' shingles together."""
-    differing = sum((F.bit_count(x(f"s{w}").bitwiseXOR(y(f"s{w}"))) for w in range(1, WORDS)), F.bit_count(x("s0").bitwiseXOR(y("s0"))))
-    return differing <= (1 - similarity) / (1 + similarity) * (x("places") + y("places")) + 1e-6
+    which the lines differ, and those may be (1 - t) / (1 + t) of both lines' shingles together. The first words often tell already."""
+    limit = (1 - similarity) / (1 + similarity) * (x("places") + y("places")) + 1e-6
+    differing = lambda n: sum((F.bit_count(x(f"s{w}").bitwiseXOR(y(f"s{w}"))) for w in range(1, n)), F.bit_count(x("s0").bitwiseXOR(y("s0"))))
+    return (differing(WORDS // 4) <= limit) & (differing(WORDS) <= limit)
 
 
 def banded(least: DataFrame, keys: list[str], bands: int, per_band: int) -> DataFrame:
@@ -121,12 +130,16 @@ def banded(least: DataFrame, keys: list[str], bands: int, per_band: int) -> Data
     for x in m:
         whole = whole & x.isNotNull()
 
-    def sparse(j: int) -> Column:  # hashes to the same key as the columns themselves where none is empty
-        circle = m[j * per_band :] + m[: j * per_band]
-        return F.xxhash64(F.slice(F.filter(F.array(*circle), lambda x: x.isNotNull()), 1, per_band), F.lit(j))
+    def sparse(full: Column, mask: Column) -> Column:  # hashes to the same keys as the columns themselves where none is empty
+        def keys_of(circle: Column) -> Column:
+            before = lambda j: F.bit_count(mask.bitwiseAND(F.lit((1 << j * per_band) - 1)))
+            return F.array(*[F.xxhash64(F.slice(circle, before(j) + 1, F.least(F.lit(per_band), F.size(full))), F.lit(j)) for j in range(bands)])
 
+        return bound(F.concat(full, full), keys_of)
+
+    held = F.struct(F.filter(F.array(*m), lambda x: x.isNotNull()).alias("full"), sum((F.when(x.isNotNull(), 1 << j).otherwise(0) for j, x in enumerate(m)), F.lit(0)).cast("long").alias("mask"))
     dense = F.array(*[F.xxhash64(*m[j * per_band : (j + 1) * per_band], F.lit(j)) for j in range(bands)])
-    return least.select(*keys, F.when(whole, dense).otherwise(F.array(*[sparse(j) for j in range(bands)])).alias("bands"))
+    return least.select(*keys, F.when(whole, dense).otherwise(bound(held, lambda x: sparse(x["full"], x["mask"]))).alias("bands"))
 
 
 def _alike(common: Column, a: Column, b: Column, similarity: float) -> Column:
@@ -154,17 +167,22 @@ def linked_blocks(met: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def item(x: Column) -> Column:
         return F.struct(*[x[c].alias(c) for c in kept], at_places(x["line"], shingle).alias("set"))
 
+    def maybe(x: Column, y: Column) -> Column:
+        return (x["comp"] != y["comp"]) & may_be_alike(lambda c: x[c], lambda c: y[c], similarity) & ~F.arrays_overlap(x["earlier"], y["earlier"])
+
     def near(x: Column, y: Column) -> Column:
-        first = (x["comp"] != y["comp"]) & ~F.arrays_overlap(x["earlier"], y["earlier"])
-        exact = _alike(F.size(F.array_intersect(x["set"], y["set"])), F.size(x["set"]), F.size(y["set"]), similarity)
-        return first & may_be_alike(lambda c: x[c], lambda c: y[c], similarity) & exact
+        return maybe(x, y) & _alike(F.size(F.array_intersect(x["set"], y["set"])), F.size(x["set"]), F.size(y["set"]), similarity)
 
-    def links(m: Column) -> Column:
+    def links(left: Column, right: Column) -> Column:
         pair = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
-        return F.flatten(F.transform(m["left"], lambda x: F.transform(F.filter(m["right"], lambda y: near(x, y)), lambda y: pair(x, y))))
+        return F.flatten(F.transform(left, lambda x: F.transform(F.filter(right, lambda y: near(x, y)), lambda y: pair(x, y))))
 
-    sides = F.struct(F.transform("left", item).alias("left"), F.transform("right", item).alias("right"))
-    return met.select(F.explode(bound(sides, links)).alias("l")).select("l.a", "l.b")
+    # sets are made only of the lines that may have a partner in the other block
+    open_left = F.filter("left", lambda x: F.exists("right", lambda y: maybe(x, y)))
+    open_right = lambda left: F.filter("right", lambda y: F.exists(left, lambda x: maybe(x, y)))
+    with_sets = lambda left, right: F.struct(F.transform(left, item).alias("left"), F.transform(right, item).alias("right"))
+    found = bound(open_left, lambda left: bound(with_sets(left, open_right(left)), lambda m: links(m["left"], m["right"])))
+    return met.select(F.explode(found).alias("l")).select("l.a", "l.b")
 
 
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -181,9 +199,9 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
         marked = may_contain(told(all_lines), "id", ids, "_asked")
         places = save(marked.withColumn("line", F.when(F.col("_asked") & F.col("compared"), F.col("line"))).drop("_asked"), "line-places")
         found["places"] = places
-        texts = save(places.filter("line is not null").select("id", "line").dropDuplicates(["id"]).join(ids, "id", "left_semi"), "line-texts")
+        # dealt by id once: the texts' shuffle serves the sketches and the join
+        texts = places.filter("line is not null").select("id", "line").dropDuplicates(["id"]).join(ids, "id", "left_semi")
         items = save(texts.join(sketched(texts, shingle), "id"), "line-items")
-        drop(texts)
         found["items"] = items
         return items, similar(items, shingle, similarity), lambda met: linked_blocks(met, shingle, similarity)
 
