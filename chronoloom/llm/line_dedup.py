@@ -102,17 +102,17 @@ def minima(rows: DataFrame, keys: list[str], bins: int, shingle: int) -> DataFra
     limit = F.ceil(F.lit(float((1 << 32) * DEPTH * bins)) / places_of(F.length("line"), shingle))  # found once a line
     bin_of = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * bins, 32)
     limited = rows.filter("compared").withColumn("limit", limit)
-    dealt = shingled(limited, [*keys, "limit"], shingle).select(*keys, "limit", bin_of.alias("bin"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
-    return dealt.filter("v < limit").groupBy(*keys).agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(bins)])
+    dealt = shingled(limited, [*keys, "limit"], shingle).select(*keys, "limit", bin_of.cast("int").alias("bin"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
+    # with a filter clause a row writes to its own bin's minimum only; without one, to all of them
+    return dealt.filter("v < limit").groupBy(*keys).agg(*[F.expr(f"min(v) FILTER (WHERE bin = {j})").alias(f"m{j}") for j in range(bins)])
 
 
 def sketched(texts: DataFrame, shingle: int) -> DataFrame:
     """id, places and s0, s1 and so on, the bitmap of the line's shingles dealt to 64 * WORDS slots."""
     slots = shingled(texts, ["id"], shingle).select("id", "places", F.pmod("h", F.lit(64 * WORDS)).cast("int").alias("slot"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)))
-    # a few words at a time, as all are written at each row
-    some = slots.groupBy("id", "places", F.shiftright("slot", 6 + 2).alias("four")).agg(*[F.bit_or(F.when(F.shiftright("slot", 6).bitwiseAND(F.lit(3)) == w, bit)).alias(f"w{w}") for w in range(4)])
-    return some.groupBy("id", "places").agg(*[F.max(F.when(F.col("four") == w // 4, F.col(f"w{w % 4}"))).alias(f"s{w}") for w in range(WORDS)]).na.fill(0)
+    bits = slots.select("id", "places", F.shiftright("slot", 6).alias("word"), bit.alias("bit"))
+    return bits.groupBy("id", "places").agg(*[F.expr(f"bit_or(bit) FILTER (WHERE word = {w})").alias(f"s{w}") for w in range(WORDS)]).na.fill(0)
 
 
 def may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
@@ -171,7 +171,7 @@ def linked_blocks(met: DataFrame, shingle: int, similarity: float) -> DataFrame:
         return (x["comp"] != y["comp"]) & may_be_alike(lambda c: x[c], lambda c: y[c], similarity) & ~F.arrays_overlap(x["earlier"], y["earlier"])
 
     def near(x: Column, y: Column) -> Column:
-        return maybe(x, y) & _alike(F.size(F.array_intersect(x["set"], y["set"])), F.size(x["set"]), F.size(y["set"]), similarity)
+        return maybe(x, y) & bound(F.size(F.array_intersect(x["set"], y["set"])), lambda common: _alike(common, F.size(x["set"]), F.size(y["set"]), similarity))
 
     def links(left: Column, right: Column) -> Column:
         pair = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))

@@ -305,6 +305,30 @@ def test_recall_of_edited_lines(spark):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) >= 0.95 * len(pairs)
 
 
+def test_a_shingle_writes_one_minimum_and_one_word(spark, corpus):
+    """Each shingle's row updates its own bin and its own word of the sketch, in one aggregation; bins and words are those of brute force."""
+    from pyspark.sql import functions as F
+
+    lines = line_dedup.lines(corpus.filter("doc_id >= 100 and doc_id < 130")).filter("compared").select("id", "line", "compared").distinct()
+    least, sketch = line_dedup.minima(lines, ["id"], 24, 8), line_dedup.sketched(lines, 8)
+    for df, n in ((least, 24), (sketch, line_dedup.WORDS)):
+        with common.settings(spark, {"spark.sql.debug.maxToStringFields": "1000"}):
+            plan = df._jdf.queryExecution().analyzed().toString()
+        assert plan.lower().count("filter (where") >= n and plan.count("Aggregate [") == 1
+    bins, words = {}, {}
+    for r in lines.select("id", F.length("line").alias("n"), line_dedup.at_places(F.col("line"), 8).alias("hashes")).collect():
+        places = max(r.n - 7, 1)
+        m, s = [None] * 24, [0] * line_dedup.WORDS
+        for h in r.hashes:
+            high, low, slot = (h & (1 << 64) - 1) >> 32, h & (1 << 32) - 1, h % (64 * line_dedup.WORDS)
+            if low < -(-((1 << 32) * line_dedup.DEPTH * 24) // places):
+                m[high * 24 >> 32] = min(low, m[high * 24 >> 32] or low)
+            s[slot >> 6] |= 1 << (slot & 63)
+        bins[r.id], words[r.id] = m, s
+    assert {r.id: [r[f"m{j}"] for j in range(24)] for r in least.collect()} == bins
+    assert {r.id: [r[f"s{w}"] & (1 << 64) - 1 for w in range(line_dedup.WORDS)] for r in sketch.collect()} == words
+
+
 def test_lines_with_one_hash_are_told_apart(spark, corpus, monkeypatch):
     """With a first hash of 50 values only, the second one keeps lines apart."""
     from pyspark.sql import functions as F
